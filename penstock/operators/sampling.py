@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from penstock.functions.draws import seeded_hash, seeded_uniform
 from penstock.operators.joins import salted_join, small_side
 from penstock.operators.ordering import with_row_id
+from penstock.sources.staging import stage
 
 _BUCKET_BITS = 16
 DRAWS_PER_SALT = 1000
@@ -39,30 +40,30 @@ def stratum_quotas(counts: DataFrame, total: int, strata: Sequence[str]) -> Data
 
 
 def mark_sample(
-    df: DataFrame, strata: Sequence[str], quotas: DataFrame, key: Sequence[str], seed: int = 42, flag: str = "taken"
+    df: DataFrame, strata: Sequence[str], key: Sequence[str], quotas_of: Callable[[DataFrame], DataFrame], seed: int = 42,
+    flag: str = "taken",
 ) -> DataFrame:
     """Flag `quota` rows of each stratum, those with the smallest (hash, key).
 
-    A count per (stratum, hash bucket) finds the bucket in which the quota falls. Whole buckets are decided
-    by comparison, map-side; only the rows of the cut bucket, about one in 65,536, are ranked. So a class
-    with most of the rows is never sorted in one task, and no other row is shuffled. `key` must identify rows.
+    `quotas_of` turns `(strata…, n)` into `(strata…, quota)`. A count per (stratum, hash bucket) finds the bucket in
+    which the quota falls; only the rows of that bucket, about one in 65,536, are ranked to find the last row taken.
+    Every row is then flagged by comparing it with that row, map-side: no row is shuffled, and a class with most of
+    the rows is never sorted in one task. `key` must identify rows.
     """
     bucket = F.shiftright("_h", 32 - _BUCKET_BITS)
     hashed = df.withColumn("_h", seeded_hash(seed, *key))
-    sizes = hashed.groupBy(*strata, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = stage(hashed.groupBy(*strata, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")), "buckets")
+    quotas = quotas_of(sizes.groupBy(*strata).agg(F.sum("_n").alias("n"))).select(*strata, "quota")
     running = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    reached = sizes.withColumn("_upto", F.sum("_n").over(running)).join(quotas.select(*strata, "quota"), list(strata))
+    reached = sizes.withColumn("_upto", F.sum("_n").over(running)).join(quotas, list(strata))
     cuts = reached.filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-    cuts = cuts.select(
-        *strata, F.col("_bucket").alias("_cut"), (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_need")
-    )
-    placed = hashed.join(small_side(cuts), list(strata), "left").withColumn("_bucket", bucket)
-    at_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
-    below = F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False))
+    cuts = cuts.select(*strata, "_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_need"))
+    at_cut = hashed.withColumn("_bucket", bucket).join(small_side(cuts), [*strata, "_bucket"])
     first = Window.partitionBy(*strata).orderBy("_h", *key)
-    sure = placed.filter(~at_cut).withColumn(flag, below)
-    ranked = placed.filter(at_cut).withColumn(flag, F.row_number().over(first) <= F.col("_need"))
-    return sure.unionByName(ranked).select(*df.columns, flag)
+    last = at_cut.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") == F.col("_need"))
+    last = small_side(last.select(*strata, F.struct("_h", *key).alias("_last")))
+    taken = F.coalesce(F.struct("_h", *key) <= F.col("_last"), F.lit(False))
+    return hashed.join(last, list(strata), "left").select(*[F.col(c) for c in df.columns], taken.alias(flag))
 
 
 def stratified_sample(
@@ -77,10 +78,12 @@ def stratified_split(
     df: DataFrame, strata: Sequence[str], share: float, key: Sequence[str], seed: int = 42, cap: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(sample, rest) with the exact share of every stratum in the sample."""
-    counts = small_side(df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    quotas = stratum_quotas(counts, sample_size(total, share, cap), strata)
-    marked = mark_sample(df, strata, quotas, key, seed)
+
+    def quotas(counts: DataFrame) -> DataFrame:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        return stratum_quotas(counts, sample_size(total, share, cap), strata)
+
+    marked = mark_sample(df, strata, key, quotas, seed)
     return marked.filter("taken").drop("taken"), marked.filter("not taken").drop("taken")
 
 

@@ -93,7 +93,7 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the text key `row_key`; whole rows are distinct."""
     li = table(spark, sf_dir, "lineitem")
     parts = [F.col(c).cast("string") for c in _KEY_PLAIN]
-    parts += [F.round(F.col(c) * 100).cast("long").cast("string") for c in _KEY_CENTS]
+    parts += [F.floor(F.col(c) * 100 + 0.5).cast("string") for c in _KEY_CENTS]
     return li.withColumn("row_key", F.concat_ws("|", *parts, epoch_seconds("l_shipdate").cast("string")))
 
 
@@ -101,7 +101,7 @@ LINE_ITEMS = (
     "lk AS (SELECT *, concat_ws('|', "
     + ", ".join(f"{c}::VARCHAR" for c in _KEY_PLAIN)
     + ", "
-    + ", ".join(f"round({c} * 100)::BIGINT::VARCHAR" for c in _KEY_CENTS)
+    + ", ".join(f"floor({c} * 100 + 0.5)::BIGINT::VARCHAR" for c in _KEY_CENTS)
     + ", (epoch_us(l_shipdate) // 1000000)::VARCHAR) AS row_key FROM lineitem)"
 )
 
