@@ -131,3 +131,17 @@ def attach_labels(features: DataFrame, labels: DataFrame, key: str = "row_id") -
     if left != right or joined.count() != left:
         raise ValueError(f"{left} feature rows and {right} label rows do not pair up")
     return joined
+
+
+def to_long(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), feature: str = "feature", value: str = "value") -> DataFrame:
+    """Wide to long: `(keys…, feature, value)` with one row per cell. The plan does not grow with the columns."""
+    cells = df.select(*keys, F.posexplode(F.array(*[F.col(f"`{c}`") for c in cols])).alias("_at", value))
+    names = F.array(*[F.lit(c) for c in cols])
+    return cells.select(*keys, F.element_at(names, F.col("_at") + 1).alias(feature), value)
+
+
+def to_wide(
+    long: DataFrame, key: Sequence[str], sensors: Sequence[str], sensor: str = "sensor", value: str = "value"
+) -> DataFrame:
+    """Long to wide: mean reading of each named sensor per key, NULL where there is none."""
+    return long.groupBy(*key).agg(*[F.avg(F.when(F.col(sensor) == s, F.col(value))).alias(s) for s in sensors])

@@ -8,43 +8,27 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BATCH = 50
-
-
-def column_stats(df: DataFrame, cols: Sequence[str], batch: int = BATCH) -> DataFrame:
+def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per column: rows, nulls, nans, infs, min, max, mean, var_samp, var_pop.
 
-    Columns are aggregated in batches to stay inside generated-code limits; each batch reads only its own
-    columns, so a columnar table is read once in total. NaN cells are left out of the moments.
+    Cells are aggregated by column position in one pass, with one partial row per column and task; the plan does not
+    grow with the number of columns. NaN cells are left out of the moments.
     """
-    return reduce(DataFrame.unionByName, [_batch_stats(df, cols[i : i + batch]) for i in range(0, len(cols), batch)])
-
-
-_FIELDS = ("rows", "nulls", "nans", "infs", "min", "max", "mean", "var_samp", "var_pop")
-
-
-def _batch_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    exprs = []
-    for i, name in enumerate(cols):
-        c = F.col(f"`{name}`").cast("double")
-        real = F.when(~F.isnan(c), c)
-        exprs += [
-            F.count(F.lit(1)).alias(f"rows_{i}"),
-            F.count_if(c.isNull()).alias(f"nulls_{i}"),
-            F.count_if(F.isnan(c)).alias(f"nans_{i}"),
-            F.count_if(F.abs(c) == float("inf")).alias(f"infs_{i}"),
-            F.min(real).alias(f"min_{i}"),
-            F.max(real).alias(f"max_{i}"),
-            F.avg(real).alias(f"mean_{i}"),
-            F.var_samp(real).alias(f"var_samp_{i}"),
-            F.var_pop(real).alias(f"var_pop_{i}"),
-        ]
-    one = df.agg(*exprs)
-    rows = [
-        F.struct(F.lit(name).alias("feature"), *[F.col(f"{field}_{i}").alias(field) for field in _FIELDS])
-        for i, name in enumerate(cols)
-    ]
-    return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    cells = df.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in cols])).alias("_at", "_x"))
+    x = F.col("_x")
+    real = F.when(~F.isnan(x), x)
+    stats = cells.groupBy("_at").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(x.isNull()).alias("nulls"),
+        F.count_if(F.isnan(x)).alias("nans"),
+        F.count_if(F.abs(x) == float("inf")).alias("infs"),
+        F.min(real).alias("min"),
+        F.max(real).alias("max"),
+        F.avg(real).alias("mean"),
+        F.var_samp(real).alias("var_samp"),
+        F.var_pop(real).alias("var_pop"),
+    )
+    return stats.select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_at") + 1).alias("feature"), *stats.columns[1:])
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -66,8 +50,9 @@ def all_null_columns(train: DataFrame, test: DataFrame, cols: Sequence[str]) ->
     """Columns without any value in either table."""
     empty: set[str] = set()
     for table in (train, test):
-        filled = table.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-        empty |= {c for i, c in enumerate(cols) if filled[i] == 0}
+        filled = table.select(F.posexplode(F.array(*[F.col(f"`{c}`").isNotNull() for c in cols])).alias("_at", "_x"))
+        rows = filled.groupBy("_at").agg(F.count_if("_x").alias("n")).filter("n = 0").collect()  # at most one per column
+        empty |= {cols[r["_at"]] for r in rows}
     return [c for c in cols if c in empty]
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from penstock.functions.draws import seeded_uniform
+from penstock.operators.columns import to_long
 from penstock.operators.ordering import quantiles
 from penstock.operators.profile import column_stats
 from penstock.sources.staging import materialize
@@ -84,7 +85,7 @@ def out_of_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def fit_quantiles(train: DataFrame, cols: Sequence[str], landmarks: int = 1000) -> dict[str, list[float]]:
     """Evenly spaced training quantiles per feature, exact."""
     probs = [i / (landmarks - 1) for i in range(landmarks)]
-    long = train.select(*cols).unpivot([], list(cols), "feature", "value")
+    long = to_long(train, cols)
     rows = quantiles(long, "value", probs, ["feature"]).collect()  # features × landmarks
     found: dict[str, list[tuple[float, float]]] = {c: [] for c in cols}
     for r in rows:

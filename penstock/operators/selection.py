@@ -9,6 +9,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penstock.operators.columns import to_long
 from penstock.operators.neighbors import knn_join
 from penstock.operators.ordering import running_totals
 from penstock.operators.scale import Params
@@ -85,12 +86,8 @@ def binned_counts(df: DataFrame, params: Params, label: str = "label", bins: int
         spread = p["max"] - p["min"]
         at = F.floor((F.col(c) - F.lit(p["min"])) * bins / F.lit(spread if spread != 0 else 1.0)).cast("int")
         binned.append(F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).alias(c))
-    return (
-        df.select(F.col(label).alias("label"), *binned)
-        .unpivot(["label"], list(params), "feature", "bin")
-        .groupBy("feature", "bin", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    long = to_long(df.select(F.col(label).alias("label"), *binned), list(params), ["label"], value="bin")
+    return long.groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def contingency_scores(counts: DataFrame) -> DataFrame:
@@ -116,7 +113,7 @@ def contingency_scores(counts: DataFrame) -> DataFrame:
 def moment_scores(df: DataFrame, cols: Sequence[str], label: str = "label") -> DataFrame:
     """`(feature, abs_corr, anova_f)` against a numeric 0/1 label."""
     long = df.select(F.col(label).cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in cols])
-    long = long.unpivot(["label"], list(cols), "feature", "value")
+    long = to_long(long, cols, ["label"])
     groups = long.groupBy("feature", "label").agg(
         F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")
     )

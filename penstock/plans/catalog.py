@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from penstock.plans import balance, detection, features, preparation  # noqa: F401
+from penstock.plans import balance, detection, features, models, preparation, streams  # noqa: F401
 from penstock.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from penstock.functions.draws import uniform_sql
+from penstock.models.classifiers import from_array
 from penstock.operators import selection, splits, windows
+from penstock.operators.columns import to_long
 from penstock.operators.episodes import with_episode
-from penstock.operators.ordering import with_row_id
+from penstock.operators.ordering import quantiles, with_row_id
 from penstock.operators.scale import fit_params, params_dict
 from penstock.plans.inputs import (
     MEASURES,
@@ -24,6 +27,7 @@ from penstock.plans.inputs import (
 )
 from penstock.plans.registry import query
 from penstock.sources.staging import stage
+from penstock.streaming.drift import drift_by_period
 
 
 def _by_user(spark, sf_dir):
@@ -134,7 +138,7 @@ def w7_spectral_cleaning(spark, sf_dir):
 
 def _line_long(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_linestatus", *MEASURES)
-    return li.unpivot(["l_linestatus"], list(MEASURES), "feature", "value")
+    return to_long(li, MEASURES, ["l_linestatus"])
 
 
 @query(
@@ -261,8 +265,6 @@ def fs4_relieff(spark, sf_dir):
 @query("fs5_pca_variance")
 def fs5_pca_variance(spark, sf_dir):
     """Explained variance of eight components."""
-    from penstock.models.classifiers import from_array
-
     df = from_array(vectors(spark, sf_dir), "vec")
     return rounded(selection.pca(df, "features")[1], "explained")
 
@@ -292,8 +294,6 @@ def fs6_name_priority(spark, sf_dir):
 )
 def u4_state_overlap(spark, sf_dir):
     """Share of actuator-state tuples of the test period already seen in training."""
-    from penstock.operators.ordering import quantiles
-
     e = readings(spark, sf_dir)
     cut = quantiles(e, "sec", [0.6]).first()["quantile"]
     s = e.select("sec", "event_type", (F.col("user_id") % 20).alias("valve"), (F.floor(F.col("minute") / 60) % 24).alias("h"))
@@ -358,11 +358,15 @@ def v4_walk_forward_folds(spark, sf_dir):
     return _fold_counts(splits.walk_forward_folds(readings(spark, sf_dir), "sec", 4, 1800, train_blocks=2))
 
 
-@query("v5_episode_holdout", None)
-def v5_episode_holdout(spark, sf_dir):
-    """Whole attack episodes held out, so that no episode is on both sides."""
+@query(
+    "u1_episode_holdout",
+    f"""WITH {SENSOR_WIDE}, f AS (SELECT minute, minute - row_number() OVER (ORDER BY minute) + 1 AS episode FROM sw WHERE attack = 1)
+    SELECT minute, episode, ({uniform_sql("episode", "episode::VARCHAR")} < 0.5)::INT AS held_out FROM f""",
+)
+def u1_episode_holdout(spark, sf_dir):
+    """Before stacking, whole attack episodes are held out, so that no episode is on both sides."""
     runs = with_episode(sensor_wide(spark, sf_dir, with_id=False).select("minute", "attack"), "attack", "minute")
-    return splits.episode_holdout(runs, 0.5)
+    return splits.episode_holdout(runs, 0.5).select("minute", "episode", "held_out")
 
 
 @query(
@@ -379,8 +383,6 @@ def v5_episode_holdout(spark, sf_dir):
 )
 def t4_drift_by_day(spark, sf_dir):
     """Distance of each day's distribution from the training baseline, per sensor."""
-    from penstock.streaming.drift import drift_by_period
-
     e = readings(spark, sf_dir).select(
         F.col("event_type").alias("sensor"), F.floor(F.col("minute") / 1440).cast("long").alias("day"), "value"
     )

@@ -564,7 +564,7 @@ def n8_train_mean_fill(spark, sf_dir):
     n = df.count()
     train = df.filter(F.col("row_id") < n * 2 // 3)
     means = {r["feature"]: r["mean"] for r in profile.column_stats(train, SENSORS).select("feature", "mean").collect()}
-    long = train.select(*SENSORS).unpivot([], list(SENSORS), "feature", "value")
+    long = C.to_long(train, SENSORS)
     medians = {r["feature"]: r["quantile"] for r in quantiles(long, "value", [0.5], ["feature"]).collect()}
     params = {c: {"mean": means[c], "median": medians[c]} for c in SENSORS}
     both = df.select("row_id", *SENSORS, *[F.col(c).alias(f"{c}_median") for c in SENSORS])

@@ -18,13 +18,13 @@ from penstock.operators.scale import Params, apply_params, min_max
 from penstock.session import scratch_path
 
 WATERMARK = "10 minutes"
-BATCH_BYTES = "256m"
+BATCH_BYTES = 256 * 1024 * 1024
 
 # Fixed value: rows in the recent-row buffer.
 BUFFER_ROWS = 4
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_bytes: str = BATCH_BYTES) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_bytes: int = BATCH_BYTES) -> DataFrame:
     """Parquet files as a stream; `path` is a folder or a glob."""
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(path)
 
