@@ -79,18 +79,19 @@ def run_cell(
     edge_fit_s = time.perf_counter() - start
     scored = stage(score_cascade(test, edge, central, rule, all_central=with_auc), "cascade")
     report = cascade_report(scored).first().asDict()
-    counts = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if("escalated").alias("escalated")).first()
     out = {
         "config_name": config.name, "edge_share": share, "edge_rows": edge_rows, "edge_f1": report["edge_f1"],
-        "escalated": counts["escalated"], "escalation_rate": 100.0 * counts["escalated"] / counts["n"] if counts["n"] else 0.0,
         "edge_fit_s": edge_fit_s,
     }
-    out |= {name: report[name] for name in ("tn", "fp", "fn", "tp", "precision", "recall", "f1", "accuracy", "fp_rate")}
+    out |= {
+        name: report[name]
+        for name in ("tn", "fp", "fn", "tp", "precision", "recall", "f1", "accuracy", "fp_rate", "escalated", "escalation_rate")
+    }
     if with_auc:
         out["roc_auc"] = roc_auc(scored, "label", "p_central").first()["roc_auc"]
     if footprint:
         out["edge_size_mb"] = saved_size_mb(train.sparkSession, edge)
-        out["score_rows_per_s"] = counts["n"] / scoring_seconds(edge, test)
+        out["score_rows_per_s"] = report["n_rows"] / scoring_seconds(edge, test)
     return out
 
 

@@ -125,12 +125,17 @@ def drop_leading(df: DataFrame, rows: int, row_id: str = "row_id") -> DataFrame:
 
 
 def attach_labels(features: DataFrame, labels: DataFrame, key: str = "row_id") -> DataFrame:
-    """Join a label side table on the row key, refusing tables that do not pair one to one."""
-    left, right = features.count(), labels.count()
-    joined = features.join(labels, key)
-    if left != right or joined.count() != left:
-        raise ValueError(f"{left} feature rows and {right} label rows do not pair up")
-    return joined
+    """Join a label side table on the row key, refusing tables that do not pair one to one.
+
+    The check counts keys of both sides in one aggregate; only the key column is read for it.
+    """
+    keys = features.select(key, F.lit(1).alias("a"), F.lit(0).alias("b"))
+    keys = keys.unionByName(labels.select(key, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    paired = keys.groupBy(key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    odd = paired.agg(F.count_if((F.col("a") != 1) | (F.col("b") != 1))).first()[0]
+    if odd:
+        raise ValueError(f"{odd} row keys do not have exactly one feature row and one label row")
+    return features.join(labels, key)
 
 
 def to_long(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), feature: str = "feature", value: str = "value") -> DataFrame:

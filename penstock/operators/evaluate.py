@@ -54,14 +54,18 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: Seque
 
 
 def cascade_report(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Edge-only beside cascade metrics from `(label, edge_class, final_class)`, one pass over the scores."""
+    """Edge-only beside cascade metrics and escalation counts, one pass over `(label, edge_class, final_class, escalated)`."""
     y, e, f = F.col("label") == 1, F.col("edge_class") == 1, F.col("final_class") == 1
     cells = {}
     for prefix, p in (("edge_", e), ("", f)):
         cells |= {prefix + "tn": ~y & ~p, prefix + "fp": ~y & p, prefix + "fn": y & ~p, prefix + "tp": y & p}
-    counted = df.groupBy(*by).agg(*[F.count_if(test).alias(name) for name, test in cells.items()])
+    cells["escalated"] = F.col("escalated")
+    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(test).alias(name) for name, test in cells.items()])
     both = with_metrics(with_metrics(counted, "edge_"))
-    return both.withColumn("cascade_gain", (F.col("f1") - F.col("edge_f1")) * 100)
+    return both.select(
+        "*", ((F.col("f1") - F.col("edge_f1")) * 100).alias("cascade_gain"),
+        (100.0 * ratio(F.col("escalated"), F.col("n_rows"))).alias("escalation_rate"),
+    )
 
 
 def best_rows(results: DataFrame, by: Sequence[str], f1: str = "f1", then: Sequence[str] = ("edge_share",)) -> DataFrame:

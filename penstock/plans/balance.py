@@ -23,6 +23,7 @@ from penstock.plans.inputs import (
     vectors,
 )
 from penstock.plans.registry import query
+from penstock.sources.staging import stage
 
 
 def _quota_cte(source: str, label: str, total: str) -> str:
@@ -39,6 +40,11 @@ _RANKED = f"""rk AS (SELECT row_key, l_returnflag AS label,
       row_number() OVER (PARTITION BY l_returnflag ORDER BY {hash_sql(42, "row_key")}, row_key) AS r FROM lk)"""
 
 
+def _keyed_classes(spark, sf_dir):
+    """Row key and class of each line item; staged because the sampler passes over it more than once."""
+    return stage(line_items(spark, sf_dir).select("row_key", F.col("l_returnflag").alias("label")), "keyed")
+
+
 @query(
     "m2_stratified_sample",
     f"""WITH {LINE_ITEMS}, {_quota_cte("lk", "l_returnflag", "floor(sum(n) * 0.15)")}, {_RANKED}
@@ -46,7 +52,7 @@ _RANKED = f"""rk AS (SELECT row_key, l_returnflag AS label,
 )
 def m2_stratified_sample(spark, sf_dir):
     """15 % of each class without replacement, exactly."""
-    li = line_items(spark, sf_dir).select("row_key", F.col("l_returnflag").alias("label"))
+    li = _keyed_classes(spark, sf_dir)
     return sampling.stratified_sample(li, ["label"], 0.15, ["row_key"])
 
 
@@ -61,7 +67,7 @@ def m2_stratified_sample(spark, sf_dir):
 )
 def m3_stratified_bootstrap(spark, sf_dir):
     """10 % draws with replacement, class shares kept exactly."""
-    li = line_items(spark, sf_dir).select("row_key", F.col("l_returnflag").alias("label"))
+    li = _keyed_classes(spark, sf_dir)
     return sampling.bootstrap(li, "label", 0.1, ["row_key"])
 
 
@@ -73,7 +79,7 @@ def m3_stratified_bootstrap(spark, sf_dir):
 )
 def m4_capped_sample(spark, sf_dir):
     """The sample size is capped; the cap is the feature."""
-    li = line_items(spark, sf_dir).select("row_key", F.col("l_returnflag").alias("label"))
+    li = _keyed_classes(spark, sf_dir)
     got = sampling.stratified_sample(li, ["label"], 0.2, ["row_key"], cap=5000)
     return got.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.min("row_key").alias("first_key"), F.max("row_key").alias("last_key")

@@ -168,7 +168,7 @@ def e4_roc_auc_by_day(spark, sf_dir):
 )
 def e5_edge_beside_cascade(spark, sf_dir):
     """Edge-only and cascade metrics in one pass, with the gain (E6)."""
-    report = evaluate.cascade_report(_decided(spark, sf_dir))
+    report = evaluate.cascade_report(_decided(spark, sf_dir)).drop("n_rows", "escalated", "escalation_rate")
     return rounded(report, *METRICS, *[f"edge_{m}" for m in METRICS], "cascade_gain", digits=9)
 
 
@@ -195,8 +195,7 @@ def _results(spark, sf_dir, seed):
         cascade_confirm(F.col("p_edge"), F.col("p_central")).alias("final_class"),
     )
     by = ["config_name", "edge_share"]
-    counted = evaluate.escalation(s, F.col("escalated"), by)
-    report = evaluate.cascade_report(s, by).join(counted, by)
+    report = evaluate.cascade_report(s, by)
     return report.select(
         *by, "tn", "fp", "fn", "tp", "precision", "recall", F.round("f1", 9).alias("f1"), "accuracy", "fp_rate",
         F.round("edge_f1", 9).alias("edge_f1"), "escalated", "escalation_rate",
@@ -480,8 +479,5 @@ def flagship_cascade(spark, sf_dir):
         "*", escalate_unsure(F.col("p_edge")).alias("escalated"), predicted(F.col("p_edge")).alias("edge_class"),
         cascade_replace(F.col("p_edge"), predicted(F.col("p_central"))).alias("final_class"),
     )
-    everything = s.withColumn("_all", F.lit(1))
-    report = evaluate.cascade_report(everything, ["_all"]).join(
-        everything.groupBy("_all").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("escalated").alias("escalated")), "_all"
-    ).drop("_all")
+    report = evaluate.cascade_report(s).drop("escalation_rate")
     return rounded(report, *METRICS, *[f"edge_{m}" for m in METRICS], "cascade_gain", digits=9)

@@ -135,6 +135,14 @@ def test_ensembles_learn(blobs, spec):
     assert scorer.nodes > 0
 
 
+@pytest.mark.parametrize("spec", [M.CONFIGS[0].edge.small(7, 6), M.CONFIGS[1].central.small(6, 4)])
+def test_batch_scoring_equals_mllib(blobs, spec):
+    train, test = blobs
+    scorer = M.fit_trees(balanced_weights(train), spec, "weight")
+    both = M.Scorer(scorer.model).score(scorer.score(test, "fast"), "slow")
+    assert both.agg(F.max(F.abs(F.col("fast") - F.col("slow")))).first()[0] < 1e-9
+
+
 def test_linear_baselines_learn(blobs):
     train, test = blobs
     for scorer in (M.fit_logistic(train, max_iter=20), M.fit_linear_svc(train, max_iter=20)):
