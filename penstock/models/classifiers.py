@@ -263,8 +263,11 @@ def fit_extra_trees(train: DataFrame, spec: TreeSpec, weight: str | None, cuts:
     return ExtraTrees(trees, width)
 
 
-def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None) -> Scorer:
-    """Fit a tree ensemble on `(features, label[, weight])`."""
+def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None, validation: str | None = None) -> Scorer:
+    """Fit a tree ensemble on `(features, label[, weight])`.
+
+    Boosting stops early when `validation` names a boolean column of held-out rows.
+    """
     ensure_checkpoints(train.sparkSession)
     weight = weight if spec.weighted else None
     if spec.kind == "extra":
@@ -274,6 +277,8 @@ def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None) -> Sc
             maxIter=spec.trees, maxDepth=min(spec.depth, MAX_DEPTH), stepSize=spec.step, seed=spec.seed,
             minInstancesPerNode=spec.min_leaf, maxBins=spec.bins,
         )
+        if validation:
+            learner = learner.setValidationIndicatorCol(validation)
     else:
         learner = RandomForestClassifier(
             numTrees=spec.trees, maxDepth=min(spec.depth, MAX_DEPTH), minInstancesPerNode=spec.min_leaf, seed=spec.seed,

@@ -172,6 +172,19 @@ def e5_edge_beside_cascade(spark, sf_dir):
     return rounded(report, *METRICS, *[f"edge_{m}" for m in METRICS], "cascade_gain", digits=9)
 
 
+@query(
+    "e6_cascade_gain",
+    f"""WITH {_DECIDED}, c AS (SELECT user_id, {_cells('label', 'edge_class', 'edge_')}, {_cells('label', 'final_class')} FROM de GROUP BY user_id),
+    m AS (SELECT user_id, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f,
+                 CASE WHEN 2 * edge_tp + edge_fp + edge_fn = 0 THEN 0.0 ELSE 2.0 * edge_tp / (2 * edge_tp + edge_fp + edge_fn) END AS e FROM c)
+    SELECT user_id, round((f - e) * 100, 9) AS cascade_gain FROM m""",
+)
+def e6_cascade_gain(spark, sf_dir):
+    """F1 points the central model adds, per entity."""
+    report = evaluate.cascade_report(_decided(spark, sf_dir), ["user_id"])
+    return rounded(report.select("user_id", "cascade_gain"), "cascade_gain", digits=9)
+
+
 # Experiment cells: six configurations and five edge shares, each with its own seeded edge score.
 _CONFIG_NAMES = (
     "Config_1_Lightweight", "Config_2_Balanced", "Config_3_FastEdge", "Config_4_Conservative",

@@ -11,6 +11,7 @@ from penstock.operators.columns import to_long
 from penstock.operators.episodes import with_episode
 from penstock.operators.ordering import quantiles, with_row_id
 from penstock.operators.scale import fit_params, params_dict
+from penstock.plans.flows import combine_training
 from penstock.plans.inputs import (
     MEASURES,
     READINGS,
@@ -155,11 +156,23 @@ def fs1_ks_shift(spark, sf_dir):
     return rounded(found.drop("p_value"), "d", digits=9)
 
 
-@query("fs1_ks_p_values")
+@query(
+    "fs1_ks_p_values",
+    f"""WITH l AS ({unpivot_sql(MEASURES, "lineitem", ["l_linestatus"])}),
+    n AS (SELECT feature, count(*) FILTER (WHERE l_linestatus = 'F') AS na, count(*) FILTER (WHERE l_linestatus <> 'F') AS nb FROM l GROUP BY 1),
+    g AS (SELECT feature, value, count(*) FILTER (WHERE l_linestatus = 'F') AS a, count(*) FILTER (WHERE l_linestatus <> 'F') AS b FROM l GROUP BY 1, 2),
+    c AS (SELECT feature, sum(a) OVER w AS ca, sum(b) OVER w AS cb FROM g WINDOW w AS (PARTITION BY feature ORDER BY value)),
+    d AS (SELECT feature, na, nb, max(abs(ca::DOUBLE / na - cb::DOUBLE / nb)) AS d FROM c JOIN n USING (feature) GROUP BY ALL),
+    x AS (SELECT feature, d, sqrt(na * nb / (na + nb)::DOUBLE) * d AS x FROM d),
+    t AS (SELECT feature, d, CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0,
+          2.0 * list_sum([(CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * j * j * x * x) for j in range(1, 101)]))) END AS p FROM x)
+    SELECT feature, round(d, 9) AS d, round(p, 6) AS p_value, (p < 0.05)::INT AS drop_feature FROM t""",
+)
 def fs1_ks_p_values(spark, sf_dir):
     """The same with the asymptotic p-value and the verdict at 5 %."""
     found = selection.ks_two_sample(_line_long(spark, sf_dir), F.col("l_linestatus") != "F")
-    return found.withColumn("drop_feature", (F.col("p_value") < selection.KS_P_VALUE).cast("int"))
+    found = found.withColumn("drop_feature", (F.col("p_value") < selection.KS_P_VALUE).cast("int"))
+    return rounded(rounded(found.select("feature", "d", "p_value", "drop_feature"), "p_value"), "d", digits=9)
 
 
 _PAIRS = " UNION ALL ".join(
@@ -241,7 +254,21 @@ def fs4_vote(spark, sf_dir):
     return selection.vote(_scores(spark, sf_dir), _METHODS, 20)
 
 
-@query("fs4_vote_with_relieff")
+_RELIEFF = """
+    d AS (SELECT a.id, b.id AS neighbor, a.label = b.label AS hit, list_distance(a.vec, b.vec) AS distance, a.vec AS x, b.vec AS y
+          FROM v a JOIN v b ON a.id <> b.id),
+    nr AS (SELECT *, row_number() OVER (PARTITION BY id, hit ORDER BY distance, neighbor) AS rank FROM d),
+    q AS (SELECT hit, i, abs(x[i] - y[i]) AS diff FROM nr, range(1, 65) t(i) WHERE rank <= 5),
+    rf AS (SELECT 'f' || (i - 1)::VARCHAR AS feature, avg(diff) FILTER (WHERE NOT hit) - avg(diff) FILTER (WHERE hit) AS relieff FROM q GROUP BY i)"""
+
+
+@query(
+    "fs4_vote_with_relieff",
+    f"""WITH {_LONG}, {_RELIEFF},
+    rk AS (SELECT feature, {" + ".join(f"rank() OVER (ORDER BY round({m}, 9) DESC)" for m in (*_METHODS, "relieff"))} AS rank_sum FROM al JOIN rf USING (feature)),
+    pl AS (SELECT feature, rank_sum::BIGINT AS rank_sum, row_number() OVER (ORDER BY rank_sum, feature) AS place FROM rk)
+    SELECT * FROM pl WHERE place <= 20""",
+)
 def fs4_vote_with_relieff(spark, sf_dir):
     """The vote with ReliefF as a sixth test."""
     weights = selection.relieff(vectors(spark, sf_dir), _FEATURES, k=5)
@@ -250,12 +277,7 @@ def fs4_vote_with_relieff(spark, sf_dir):
 
 @query(
     "fs4_relieff",
-    f"""WITH {VECTORS},
-    d AS (SELECT a.id, b.id AS neighbor, a.label = b.label AS hit, list_distance(a.vec, b.vec) AS distance, a.vec AS x, b.vec AS y
-          FROM v a JOIN v b ON a.id <> b.id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY id, hit ORDER BY distance, neighbor) AS rank FROM d),
-    q AS (SELECT hit, i, abs(x[i] - y[i]) AS diff FROM r, range(1, 65) t(i) WHERE rank <= 5)
-    SELECT 'f' || (i - 1)::VARCHAR AS feature, round(avg(diff) FILTER (WHERE NOT hit) - avg(diff) FILTER (WHERE hit), 8) AS relieff FROM q GROUP BY i""",
+    f"WITH {VECTORS}, {_RELIEFF} SELECT feature, round(relieff, 8) AS relieff FROM rf",
 )
 def fs4_relieff(spark, sf_dir):
     """ReliefF weights from nearest hits and misses of all rows."""
@@ -358,6 +380,32 @@ def v4_walk_forward_folds(spark, sf_dir):
     return _fold_counts(splits.walk_forward_folds(readings(spark, sf_dir), "sec", 4, 1800, train_blocks=2))
 
 
+@query(
+    "u1_training_sets",
+    f"""WITH {SENSOR_WIDE}, c AS (SELECT *, row_id >= (SELECT count(*) FROM wide) * 2 // 3 AS late FROM wide),
+    f AS (SELECT row_id, {uniform_sql("episode", "(minute - row_number() OVER (ORDER BY minute) + 1)::VARCHAR")} < 0.5 AS held FROM c WHERE late AND attack = 1),
+    r AS (SELECT 'reference' AS mode, 'train' AS side, 0 AS label, count(*) AS n FROM c WHERE NOT late AND attack = 0
+      UNION ALL SELECT 'reference', 'train', 1, count(*) FROM f UNION ALL SELECT 'reference', 'test', attack, count(*) FROM c WHERE late GROUP BY attack
+      UNION ALL SELECT 'holdout', 'train', 0, count(*) FROM c WHERE NOT late AND attack = 0
+      UNION ALL SELECT 'holdout', 'train', 1, count(*) FROM f WHERE NOT held UNION ALL SELECT 'holdout', 'test', 0, count(*) FROM c WHERE late AND attack = 0
+      UNION ALL SELECT 'holdout', 'test', 1, count(*) FROM f WHERE held)
+    SELECT * FROM r""",
+)
+def u1_training_sets(spark, sf_dir):
+    """Training and evaluation rows of both modes: all test attacks reused, or whole episodes held out."""
+    df = stage(sensor_wide(spark, sf_dir), "wide")
+    cut = df.count() * 2 // 3
+    normal = df.filter((F.col("row_id") < cut) & (F.col("attack") == 0)).select("minute", "view")
+    mixed = df.filter(F.col("row_id") >= cut).select("minute", "view", F.col("attack").alias("label"))
+    out = None
+    for mode in ("reference", "holdout"):
+        for side, rows in zip(("train", "test"), combine_training(normal, mixed, "minute", mode)):
+            one = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+            one = one.select(F.lit(mode).alias("mode"), F.lit(side).alias("side"), "label", "n")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "u1_episode_holdout",
     f"""WITH {SENSOR_WIDE}, f AS (SELECT minute, minute - row_number() OVER (ORDER BY minute) + 1 AS episode FROM sw WHERE attack = 1)

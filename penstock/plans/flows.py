@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penstock.operators import columns as C
-from penstock.operators import impute, profile, scale
+from penstock.operators import impute, profile, scale, splits
+from penstock.operators.episodes import with_episode
 from penstock.sources.staging import stage
 
 # Fixed value: settling rows at the start of the first testbed's training period (6 h at 1 Hz).
@@ -96,3 +97,23 @@ def prepare_loop(
     scaled_test = C.attach_labels(scale.apply_params(test, params), labels, row_id)
     facts = profile.shape(scaled_train, "train").unionByName(profile.shape(scaled_test, "test"))
     return Prepared(scaled_train, scaled_test, names, params, facts, [], [], [])
+
+
+def combine_training(
+    train_normal: DataFrame, test: DataFrame, step: str, mode: str = "holdout", test_share: float = 0.5
+) -> tuple[DataFrame, DataFrame]:
+    """(training rows, evaluation rows) of the second testbed, whose training period has no attacks.
+
+    Normal training rows are stacked on attack rows of the test period. In "reference" mode all of them are used and the
+    evaluation keeps the whole test period, so the scores are optimistic. In "holdout" mode whole attack episodes go to
+    one side only. `step` counts consecutive time steps; `test` holds the 0/1 `label`.
+    """
+    normal = train_normal.withColumn("label", F.lit(0))
+    if mode == "reference":
+        return normal.unionByName(test.filter("label = 1")), test
+    if mode != "holdout":
+        raise ValueError(f"unknown mode {mode}")
+    runs = splits.episode_holdout(with_episode(test, "label", step), test_share)
+    kept = runs.filter("held_out = 0").select(*test.columns)
+    held = runs.filter("held_out = 1").select(*test.columns)
+    return normal.unionByName(kept), test.filter("label = 0").unionByName(held)

@@ -604,7 +604,27 @@ def n10_z_score(spark, sf_dir):
     return rounded(scale.apply_params(li, params, scale.z_score).select("row_key", *MEASURES), *MEASURES)
 
 
-@query("n11_quantile_uniform")
+_MARKS = "[" + ", ".join(f"{i / 100}" for i in range(101)) + "]"
+
+
+def _uniform_of(c):
+    """Interpolation on the 101 training quantiles `q_<c>` from below and from above, averaged."""
+    up, down = f"len([x for x in q_{c} if x <= {c}])", f"len([x for x in q_{c} if x < {c}]) + 1"
+    return (
+        f"{up} AS u_{c}, {down} AS w_{c}",
+        f"""round(((CASE WHEN u_{c} = 0 THEN 0.0 WHEN u_{c} = 101 THEN 1.0
+            ELSE (u_{c} - 1 + ({c} - q_{c}[u_{c}]) / (q_{c}[u_{c} + 1] - q_{c}[u_{c}])) / 100.0 END)
+          + (CASE WHEN w_{c} = 102 THEN 1.0 WHEN w_{c} = 1 THEN 0.0
+            ELSE (w_{c} - 1 - (q_{c}[w_{c}] - {c}) / (q_{c}[w_{c}] - q_{c}[w_{c} - 1])) / 100.0 END)) / 2.0, 6) AS {c}""",
+    )
+
+
+@query(
+    "n11_quantile_uniform",
+    f"""WITH {LINE_ITEMS}, p AS (SELECT {", ".join(f"quantile_cont({c}, {_MARKS}) AS q_{c}" for c in MEASURES)} FROM lineitem WHERE {_SPLIT_F}),
+    i AS (SELECT *, {", ".join(_uniform_of(c)[0] for c in MEASURES)} FROM lk, p)
+    SELECT row_key, {", ".join(_uniform_of(c)[1] for c in MEASURES)} FROM i""",
+)
 def n11_quantile_uniform(spark, sf_dir):
     """Training quantiles to U(0,1)."""
     li = line_items(spark, sf_dir).select("row_key", "l_linestatus", *MEASURES)
