@@ -113,9 +113,9 @@ def contains(text: Column, part: str) -> Column:
     return F.coalesce(text.contains(part), F.lit(False))
 
 
-def to_number(cell: Column) -> Column:
-    """Number in a text cell; unparsable, missing and NaN cells become 0."""
-    number = cell.cast("string").try_cast("double")
+def to_number(cell: Column, is_text: bool = True) -> Column:
+    """Number in a cell; unparsable, missing and NaN cells become 0. Numeric cells skip the parsing."""
+    number = cell.try_cast("double") if is_text else cell.cast("double")
     return F.coalesce(F.when(F.isnan(number), None).otherwise(number), F.lit(0.0))
 
 

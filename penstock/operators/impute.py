@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from penstock.functions.timecols import floor_div
-from penstock.operators.ordering import BLOCK_ROWS
 
 # Fixed value: rows per chunk of the chunk-mean fill.
 CHUNK_ROWS = 50_000
@@ -29,6 +28,16 @@ def chunk_mean_fill(df: DataFrame, cols: Sequence[str], row_id: str = "row_id",
     )
 
 
+MIN_BLOCK_ROWS, MAX_BLOCK_ROWS = 1 << 12, 1 << 20
+
+
+def fill_block_rows(df: DataFrame, row_id: str) -> int:
+    """Rows per block: about four blocks per core, within bounds that keep a block in the memory of a task."""
+    top = df.agg(F.max(row_id)).first()[0] or 0
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(MIN_BLOCK_ROWS, min(MAX_BLOCK_ROWS, top // (4 * cores)))
+
+
 def ordered_fill(
     df: DataFrame,
     cols: Sequence[str],
@@ -36,63 +45,80 @@ def ordered_fill(
     entity: Sequence[str] = (),
     forward: bool = True,
     backward: bool = True,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Forward then backward fill in row order, over gaps of any length.
 
-    Each block of rows is filled on its own; gaps that reach a block edge take the nearest value of an
-    earlier (later) block from a summary with one row per block. The join reuses the partitioning of the
-    window, so the data is shuffled once.
+    Each block of rows is filled on its own; gaps that reach a block edge take the nearest value of an earlier (later)
+    block from a summary with one row per block and column. The join reuses the partitioning of the window, so the data
+    is shuffled once.
     """
-    last_seen, next_seen = nearest_values(df, cols, row_id, entity, forward, backward, block_rows)
+    near, last_seen, next_seen = _with_nearest(df, cols, row_id, entity, forward, backward, block_rows)
     filled = {}
     for c in cols:
-        steps = [F.col(c)]
+        steps = [F.col(f"`{c}`")]
         if forward:
-            steps.append(last_seen[c])
+            steps += last_seen[c]
         if backward:
-            steps.append(next_seen[c])
+            steps += next_seen[c]
         filled[c] = F.coalesce(*steps)
-    return _with_nearest(df, cols, row_id, entity, forward, backward, block_rows).select(
-        *[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns]
-    )
+    return near.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
 
 
-def nearest_values(df, cols, row_id, entity, forward, backward, block_rows) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Expressions for the last and the next non-NULL value over the table of `_with_nearest`."""
-    position = {c: i for i, c in enumerate(cols)}
-    back = {c: F.coalesce(F.col(f"_f{i}"), F.col(f"_cf{i}")) for c, i in position.items()} if forward else {}
-    ahead = {c: F.coalesce(F.col(f"_b{i}"), F.col(f"_cb{i}")) for c, i in position.items()} if backward else {}
-    return back, ahead
-
-
-def _with_nearest(df, cols, row_id, entity, forward, backward, block_rows) -> DataFrame:
+def _with_nearest(df, cols, row_id, entity, forward, backward, block_rows):
+    """`df` with the last and next non-NULL values, and for each column the expressions to read them."""
     keys = [*entity, "_block"]
+    block_rows = block_rows or fill_block_rows(df, row_id)
     blocked = df.withColumn("_block", floor_div(row_id, block_rows))
     frame = (Window.unboundedPreceding, 0)
     up = Window.partitionBy(*keys).orderBy(row_id).rowsBetween(*frame)
     # A descending order keeps the frame growing, so the fill stays linear in the block size.
     down = Window.partitionBy(*keys).orderBy(F.col(row_id).desc()).rowsBetween(*frame)
-    inside, ends, carried = [], [], []
-    before = Window.partitionBy(*entity).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*entity).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = []
     for i, c in enumerate(cols):
-        present = F.when(F.col(c).isNotNull(), F.col(row_id))
         if forward:
-            inside.append(F.last(c, ignorenulls=True).over(up).alias(f"_f{i}"))
-            ends.append(F.max_by(c, present).alias(f"_last{i}"))
-            carried.append(F.last(f"_last{i}", ignorenulls=True).over(before).alias(f"_cf{i}"))
+            inside.append(F.last(f"`{c}`", ignorenulls=True).over(up).alias(f"_f{i}"))
         if backward:
-            inside.append(F.last(c, ignorenulls=True).over(down).alias(f"_b{i}"))
-            ends.append(F.min_by(c, present).alias(f"_first{i}"))
-            carried.append(F.last(f"_first{i}", ignorenulls=True).over(after).alias(f"_cb{i}"))
-    summary = blocked.groupBy(*keys).agg(*ends).select(*keys, *carried)
-    return blocked.select("*", *inside).join(summary, keys)
+            inside.append(F.last(f"`{c}`", ignorenulls=True).over(down).alias(f"_b{i}"))
+    near = blocked.select("*", *inside)
+    back, ahead = {}, {}
+    kinds = {c: df.schema[c].dataType for c in cols}
+    for number, kind in enumerate(dict.fromkeys(kinds.values())):
+        same = [c for c in cols if kinds[c] == kind]
+        name = f"_carry{number}"
+        near = near.join(_carried(blocked, same, row_id, entity, keys).withColumnRenamed("_carry", name), keys)
+        for i, c in enumerate(same):
+            at = cols.index(c)
+            back[c] = [F.col(f"_f{at}"), F.col(name)[i]["before"]]
+            ahead[c] = [F.col(f"_b{at}"), F.col(name)[i]["after"]]
+    return near, back, ahead
+
+
+def _carried(blocked, cols, row_id, entity, keys) -> DataFrame:
+    """`(entity…, _block, _carry)`: nearest value before and after the block for each column, by position.
+
+    Cells are aggregated by (block, position), so the plan does not grow with the columns; the windows run per column
+    over one row per block.
+    """
+    cells = blocked.select(*keys, F.col(row_id).alias("_row"), F.posexplode(F.array(*[F.col(f"`{c}`") for c in cols])).alias("_at", "_x"))
+    present = F.when(F.col("_x").isNotNull(), F.col("_row"))
+    ends = cells.groupBy(*keys, "_at").agg(F.max_by("_x", present).alias("_last"), F.min_by("_x", present).alias("_first"))
+    before = Window.partitionBy(*entity, "_at").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*entity, "_at").orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    known = ends.select(
+        *keys, "_at", F.last("_last", ignorenulls=True).over(before).alias("before"),
+        F.last("_first", ignorenulls=True).over(after).alias("after"),
+    )
+    # One short list per block: its length is the number of columns.
+    in_order = F.array_sort(
+        F.collect_list(F.struct("_at", "before", "after")), lambda a, b: a["_at"] - b["_at"]
+    )
+    return known.groupBy(*keys).agg(in_order.alias("_carry"))
 
 
 def interpolate(
     df: DataFrame, cols: Sequence[str], at: str, row_id: str = "row_id", entity: Sequence[str] = (),
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Linear interpolation over `at` between the neighbouring values; edge gaps stay NULL."""
     points = [f"_p{i}" for i in range(len(cols))]
@@ -103,11 +129,10 @@ def interpolate(
             for c, p in zip(cols, points)
         ],
     )
-    back, ahead = nearest_values(with_points, points, row_id, entity, True, True, block_rows)
-    near = _with_nearest(with_points, points, row_id, entity, True, True, block_rows)
+    near, back, ahead = _with_nearest(with_points, points, row_id, entity, True, True, block_rows)
     done = {}
     for c, p in zip(cols, points):
-        a, b, t = back[p], ahead[p], F.col(at).cast("double")
+        a, b, t = F.coalesce(*back[p]), F.coalesce(*ahead[p]), F.col(at).cast("double")
         done[c] = F.coalesce(F.col(c), a["v"] + (b["v"] - a["v"]) * (t - a["t"]) / (b["t"] - a["t"]))
     return near.select(*[done[c].alias(c) if c in done else F.col(c) for c in df.columns])
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from penstock.operators import columns as C
 from penstock.operators import impute, profile, scale, splits
@@ -48,7 +49,8 @@ def prepare_water(
 
     def complete(df: DataFrame, extra: list[str]) -> DataFrame:
         filled = impute.ordered_fill(df.select(row_id, *extra, *[F.col(f"`{c}`") for c in sensors]), sensors, row_id)
-        return filled.select(row_id, *extra, *[C.to_number(F.col(f"`{c}`")).alias(c) for c in sensors])
+        text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+        return filled.select(row_id, *extra, *[C.to_number(F.col(f"`{c}`"), c in text).alias(c) for c in sensors])
 
     train = stage(complete(train, []), "filled-train")
     test = stage(complete(test, [label]), "filled-test")
