@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from penstock.functions.timecols import floor_div
+from penstock.operators.ordering import block_rows_for
 
 # Fixed value: rows per chunk of the chunk-mean fill.
 CHUNK_ROWS = 50_000
@@ -28,16 +29,6 @@ def chunk_mean_fill(df: DataFrame, cols: Sequence[str], row_id: str = "row_id",
     )
 
 
-MIN_BLOCK_ROWS, MAX_BLOCK_ROWS = 1 << 12, 1 << 20
-
-
-def fill_block_rows(df: DataFrame, row_id: str) -> int:
-    """Rows per block: about four blocks per core, within bounds that keep a block in the memory of a task."""
-    top = df.agg(F.max(row_id)).first()[0] or 0
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(MIN_BLOCK_ROWS, min(MAX_BLOCK_ROWS, top // (4 * cores)))
-
-
 def ordered_fill(
     df: DataFrame,
     cols: Sequence[str],
@@ -68,7 +59,7 @@ def ordered_fill(
 def _with_nearest(df, cols, row_id, entity, forward, backward, block_rows):
     """`df` with the last and next non-NULL values, and for each column the expressions to read them."""
     keys = [*entity, "_block"]
-    block_rows = block_rows or fill_block_rows(df, row_id)
+    block_rows = block_rows or block_rows_for(df, row_id)
     blocked = df.withColumn("_block", floor_div(row_id, block_rows))
     frame = (Window.unboundedPreceding, 0)
     up = Window.partitionBy(*keys).orderBy(row_id).rowsBetween(*frame)

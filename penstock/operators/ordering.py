@@ -21,7 +21,7 @@ from penstock.functions.timecols import floor_div
 from penstock.operators.joins import small_side
 from penstock.sources.staging import stage
 
-BLOCK_ROWS = 1 << 18
+MIN_BLOCK_ROWS, MAX_BLOCK_ROWS = 1 << 12, 1 << 20
 
 
 def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
@@ -112,13 +112,20 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], group: Sequence
     return both.select(*group, "prob", (F.col("_low_value") + span * (F.col("_pos") - F.col("_low"))).alias("quantile"))
 
 
-def in_blocks(df: DataFrame, row_id: str, context: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def block_rows_for(df: DataFrame, row_id: str) -> int:
+    """Rows per block: about four blocks per core, within bounds that keep a block in the memory of a task."""
+    top = df.agg(F.max(row_id)).first()[0] or 0
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(MIN_BLOCK_ROWS, min(MAX_BLOCK_ROWS, top // (4 * cores)))
+
+
+def in_blocks(df: DataFrame, row_id: str, context: int = 0, block_rows: int | None = None) -> DataFrame:
     """Add `_block` and `_context`: each block also holds the last `context` rows of the block before.
 
     The copies are made map-side. Windows partitioned by `_block` are then exact for up to `context`
     preceding rows; drop rows with `_context` afterwards.
     """
-    block_rows = max(block_rows, 2 * context, 1)
+    block_rows = max(block_rows or block_rows_for(df, row_id), 2 * context)
     own = floor_div(row_id, block_rows)
     if context == 0:
         return df.withColumn("_block", own).withColumn("_context", F.lit(False))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penstock.functions.timecols import floor_div
-from penstock.operators.ordering import BLOCK_ROWS, in_blocks, with_row_id
+from penstock.operators.ordering import in_blocks, with_row_id
 
 
 def sequence(df: DataFrame, order: Sequence[str], partition: Sequence[str] = ()) -> DataFrame:
@@ -24,7 +24,7 @@ def sequence(df: DataFrame, order: Sequence[str], partition: Sequence[str] = ())
 
 
 def over_blocks(
-    df: DataFrame, exprs, context: int, row_id: str = "row_id", partition: Sequence[str] = (), block_rows: int = BLOCK_ROWS
+    df: DataFrame, exprs, context: int, row_id: str = "row_id", partition: Sequence[str] = (), block_rows: int | None = None
 ) -> DataFrame:
     """Evaluate `exprs(window)` over bounded blocks; `window` is ordered by row id, without a frame."""
     window = Window.partitionBy("_block", *partition).orderBy(row_id)
@@ -32,7 +32,7 @@ def over_blocks(
     return blocked.filter(~F.col("_context")).drop("_block", "_context")
 
 
-def lags(df, cols: Sequence[str], steps: Sequence[int] = (1, 2), row_id="row_id", partition=(), block_rows=BLOCK_ROWS) -> DataFrame:
+def lags(df, cols: Sequence[str], steps: Sequence[int] = (1, 2), row_id="row_id", partition=(), block_rows=None) -> DataFrame:
     """Add `<col>_lag<n>`."""
     return over_blocks(
         df,
@@ -46,7 +46,7 @@ _STATS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 def rolling(
     df, cols: Sequence[str], width: int, stats: Sequence[str] = ("mean", "std"), complete: bool = False,
-    row_id="row_id", partition=(), block_rows=BLOCK_ROWS,
+    row_id="row_id", partition=(), block_rows=None,
 ) -> DataFrame:
     """Add `<col>_<stat><width>` over the last `width` rows; with `complete` drop rows with shorter windows."""
 
@@ -59,7 +59,7 @@ def rolling(
     return done.filter(F.col("_width") == width).drop("_width") if complete else done
 
 
-def transitions(df, cols: Sequence[str], width: int | None = None, row_id="row_id", partition=(), block_rows=BLOCK_ROWS) -> DataFrame:
+def transitions(df, cols: Sequence[str], width: int | None = None, row_id="row_id", partition=(), block_rows=None) -> DataFrame:
     """Add `<col>_changed` (0/1, first row 0) and, with `width`, `<col>_changes<width>` over the last rows."""
     changed = over_blocks(
         df,
@@ -77,7 +77,7 @@ def transitions(df, cols: Sequence[str], width: int | None = None, row_id="row_i
     )
 
 
-def trend(df, col: str, at: str, width: int, row_id="row_id", partition=(), block_rows=BLOCK_ROWS) -> DataFrame:
+def trend(df, col: str, at: str, width: int, row_id="row_id", partition=(), block_rows=None) -> DataFrame:
     """Add `<col>_slope<width>`: least-squares slope over `at` within the last `width` rows."""
     return over_blocks(
         df,
@@ -96,7 +96,7 @@ def gradient(upstream: Column, downstream: Column) -> Column:
     return upstream - downstream
 
 
-def boundary_windows(df, split: str, width: int, order: Sequence[str], block_rows=BLOCK_ROWS) -> DataFrame:
+def boundary_windows(df, split: str, width: int, order: Sequence[str], block_rows=None) -> DataFrame:
     """Rows whose window of `width` rows, taken over the whole table, uses more than one split."""
     ordered = sequence(df, order)
     seen = over_blocks(
