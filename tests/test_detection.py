@@ -214,3 +214,14 @@ def test_buffer_survives_batches(spark, tmp_path):
     run()
     got = {(r["entity"], r["at"] // 1_000_000): (r["mean"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[(1, 30)] == (2.0, 3) and got[(1, 50)] == (3.5, 4) and got[(2, 10)] == (7.0, 1)
+
+
+def test_pca_variance(blobs):
+    import numpy as np
+
+    train, _ = blobs
+    _, table = selection.pca(train, "features", 2)
+    x = np.array([r["features"].toArray() for r in train.select("features").collect()])
+    values = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    got = [r["explained"] for r in table.orderBy("component").collect()]
+    assert got == pytest.approx(list(values[:2] / values.sum()))
