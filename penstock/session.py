@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "penstock", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,7 +26,21 @@ def build_session(app: str = "penstock", master: str | None = None, **conf: str)
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python functions run from any folder."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(here):
+        base = os.path.join(tempfile.mkdtemp(prefix="penstock-package-"), "penstock")
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here)))
+    _SHIPPED.add(app)
 
 
 def scratch_dir(spark: SparkSession) -> str:
