@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 
-from penstock.llm import op3_suffix_dedup
+from penstock.llm import op2_chat_format, op3_suffix_dedup, op5_mixing, op9_sharding, op10_jaccard_join
 
 QUERIES = {
+    "op2_chat_format": op2_chat_format.digest,
     "op3_suffix_dedup": op3_suffix_dedup.digest,
+    "op5_mixing": op5_mixing.digest,
+    "op9_sharding": op9_sharding.digest,
+    "op10_jaccard_join": op10_jaccard_join.digest,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,6 +32,48 @@ ORACLES: dict[str, str] = {
                sha256(unhex(coalesce(k, h))) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+        u AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM l),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.s = y.s AND x.doc_id <> y.doc_id
+              GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+        SELECT r.a AS doc_id, len(any_value(l.s))::BIGINT AS n_shingles, min(r.b) AS component_id
+        FROM r JOIN l ON l.doc_id = r.a GROUP BY r.a
+    """,
+    "op2_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        m AS (SELECT *, replace(text, '\', '\b') AS t0,
+                     CASE role WHEN 'system' THEN 5 + 6 WHEN 'user' THEN 6 + 7 WHEN 'assistant' THEN 6 + 7 ELSE 7 + 4 + 8 + length(role) END AS marks FROM c),
+        e AS (SELECT *, replace(replace(replace(replace(replace(t0, '<s>', '\0'), '</s>', '\1'), '<other>', '\2'), '<is>', '\3'), '</other>', '\4') AS t1 FROM m),
+        f AS (SELECT *, replace(replace(replace(replace(replace(replace(t1, '<sys>', '\5'), '</sys>', '\6'), '[INST]', '\7'), '[/INST]', '\8'),
+                                        '<asst>', '\9'), '</asst>', '\a') AS t2 FROM e)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               (3 + 4 + sum(marks + length(t2)))::BIGINT AS formatted_chars
+        FROM f GROUP BY conv_id
+    """,
+    "op5_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                          ('0x' || substr(md5('mix-1:' || doc_id || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::DOUBLE AS n, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS i FROM d GROUP BY source),
+        w AS (SELECT *, [5.0, 2.0, 1.0][i % 3 + 1]::DOUBLE AS w, 2 * n AS cap FROM s),
+        l AS (SELECT *, (1.5::DOUBLE * sum(n) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM w
+              WINDOW b AS (ORDER BY cap / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT arg_min(level, cap / w) AS final FROM l WHERE level * w <= cap),
+        t AS (SELECT source, n, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * w) END AS target FROM l, f),
+        c AS (SELECT d.*, n, target, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS copies FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        r AS (SELECT *, target - copies * n AS rest, sum(size) OVER (PARTITION BY source, h) AS here,
+                     sum(size) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto FROM c)
+        SELECT doc_id, size, n::BIGINT AS source_size, target,
+               (size * CASE WHEN target >= 2 * n THEN 2
+                            ELSE copies + (upto <= rest OR upto - here <= rest AND 2 * (rest - upto + here) >= here)::INT END)::BIGINT AS taken FROM r
+    """,
 }
-
-
