@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 
-from penstock.llm import op2_chat_format, op3_suffix_dedup, op5_mixing, op9_sharding, op10_jaccard_join
+from penstock.llm import op2_chat_format, op3_suffix_dedup, op4_quality, op5_mixing, op6_decontaminate, op7_pii, op8_line_dedup, op9_sharding, op10_jaccard_join
 
 QUERIES = {
     "op2_chat_format": op2_chat_format.digest,
     "op3_suffix_dedup": op3_suffix_dedup.digest,
+    "op4_quality": op4_quality.digest,
     "op5_mixing": op5_mixing.digest,
+    "op6_decontaminate": op6_decontaminate.digest,
+    "op7_pii": op7_pii.digest,
+    "op8_line_dedup": op8_line_dedup.digest,
     "op9_sharding": op9_sharding.digest,
     "op10_jaccard_join": op10_jaccard_join.digest,
 }
@@ -76,4 +80,18 @@ ORACLES: dict[str, str] = {
                (size * CASE WHEN target >= 2 * n THEN 2
                             ELSE copies + (upto <= rest OR upto - here <= rest AND 2 * (rest - upto + here) >= here)::INT END)::BIGINT AS taken FROM r
     """,
+    "op8_line_dedup": r"""
+        WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n]+\n*|\n+') AS l FROM documents),
+        b AS (SELECT *, list_transform(l, lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(10))) AS b FROM l),
+        w AS (SELECT doc_id, unnest(range(1, len(b) - 1)) AS p, b FROM b WHERE len(b) >= 3),
+        r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY b[p:p + 2] ORDER BY doc_id, p) > 1 AS again FROM w),
+        c AS (SELECT DISTINCT doc_id, p + k AS i FROM r, (SELECT unnest(range(3)) AS k) WHERE again),
+        e AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM l),
+        k AS (SELECT e.*, c.i IS NOT NULL AS gone FROM e LEFT JOIN c USING (doc_id, i)),
+        g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM k),
+        s AS (SELECT doc_id, sum(gone::INT) AS n_removed, sum(starts::INT) AS n_runs,
+                     coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+        SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
+               sha256(coalesce(kept, '')) AS kept_sha256 FROM l LEFT JOIN s USING (doc_id)
+    """,
 }
