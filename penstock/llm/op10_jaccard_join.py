@@ -7,9 +7,11 @@ the cheapest l is taken. A pair needs min(l, l') shared prefix shingles.
 
 1. One pass takes the size and fingerprint of every set and adds all shingles to a frequency sketch of fixed size (16 MB).
    Equal sets become one node, represented by the smallest document.
-2. A second pass emits each node's prefix; rows meet by shingle. Short lists (`LIST` nodes) give pairs, counted against
-   min(l, l'). Longer lists only give one edge per node, to the list's first node; nodes so connected form a dense group.
-   A pair that shares a long list is therefore in one dense group, and pairs from different groups are counted in full.
+2. A second pass emits each node's prefix; rows meet by shingle. Short lists (`LIST` nodes) give pairs. Longer lists only tell their
+   nodes how many long lists they are in, h. A pair shares at most min(h, h') shingles in long lists, so it needs
+   min(l, l') - min(h, h') of them in short lists, and is a candidate if it has them. Only if that number is not positive can a link hide in
+   long lists alone. As every l is at least `FLOOR` (or what the set's size allows), only nodes with so large an h can have such a
+   link; long lists connect those nodes to dense groups.
 3. Candidate pairs are verified on the whole texts. Dense groups are cut into blocks of about `BLOCK` nodes or `BLOCK_SHINGLES` shingles, and each pair of
    blocks is verified inside a task, which returns a spanning forest of its links, never the pairs.
 4. Components of all links give the class of each document.
@@ -38,7 +40,7 @@ from penstock.sources.staging import stage
 
 LIST = 24
 BLOCK, BLOCK_SHINGLES = 256, 400_000
-MOST_MATCHES = 64
+FLOOR, MOST_MATCHES = 24, 64
 VERIFY_COST = 16.0
 _CELL_BITS, _CHUNK_BITS = 22, 12
 _SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -115,16 +117,22 @@ def need_of(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
+def floor_of(n: np.ndarray, percent: int) -> np.ndarray:
+    """The least number of matches that a document with n shingles may choose."""
+    return np.maximum(1, np.minimum(FLOOR, need_of(n, percent)))
+
+
 def prefix_of(gram: np.ndarray, excess: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """A set's shingles in its adaptive prefix, and how many a partner must share."""
     n = len(gram)
     base = n - int(need_of(np.int64(n), percent))
     level = np.where(excess > 0, 1 + np.log2(np.maximum(excess, 1)).astype(np.int64), 0)
     order = np.lexsort((gram, level))
-    most = max(1, min(MOST_MATCHES, n - base))
-    cost = np.cumsum(excess[order[: base + most]])[base:]
-    matches = np.arange(1, most + 1)
-    best = int(np.argmin(cost + VERIFY_COST * cost / matches)) + 1 if len(cost) and cost[0] > 0 else 1
+    least = int(floor_of(np.int64(n), percent))
+    most = max(least, min(MOST_MATCHES, n - base))
+    matches = np.arange(least, most + 1)
+    cost = np.cumsum(excess[order[: base + most]])[base + least - 1 :]
+    best = int(matches[np.argmin(cost + VERIFY_COST * cost / matches)]) if cost[0] > 0 else least
     return gram[order[: base + best]], best
 
 
@@ -159,7 +167,7 @@ _LISTS = "dense boolean, a long, b long, least int"
 
 
 def _lists(percent: int):
-    """Rows sorted by (token, node): pairs of short lists, and one edge per node of long ones."""
+    """Rows sorted by (token, node): pairs of short lists; of long ones (token, node, matches that could hide in long lists)."""
     names = ["dense", "a", "b", "least"]
 
     def pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, match: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -174,8 +182,7 @@ def _lists(percent: int):
         at = np.flatnonzero(head)
         size = np.diff(np.append(at, len(token)))
         of = np.repeat(size, size)
-        first = np.repeat(at, size)
-        spokes = np.flatnonzero((of > LIST) & ~head)
+        spokes = np.flatnonzero(of > LIST)
         left, right = [], []
         for gap in range(1, LIST):
             k = np.flatnonzero((of[gap:] <= LIST) & (token[gap:] == token[:-gap])) if len(token) > gap else []
@@ -186,10 +193,14 @@ def _lists(percent: int):
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
         a, b = a[fits], b[fits]
-        for dense, u, v in ((True, first[spokes], spokes), (False, a, b)):
-            for k in range(0, len(u), 1 << 17):
-                x, y = u[k : k + (1 << 17)], v[k : k + (1 << 17)]
-                yield pa.record_batch([pa.array(np.full(len(x), dense)), pa.array(node[x]), pa.array(node[y]), pa.array(np.minimum(match[x], match[y]))], names)
+        yield long(token[spokes], node[spokes], n[spokes])
+        for k in range(0, len(a), 1 << 17):
+            x, y = a[k : k + (1 << 17)], b[k : k + (1 << 17)]
+            yield pa.record_batch([pa.array(np.zeros(len(x), bool)), pa.array(node[x]), pa.array(node[y]), pa.array(np.minimum(match[x], match[y]))], names)
+
+    def long(token: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        hidden = floor_of(need_of(n.astype(np.int64), percent), percent)  # of the smallest set that n can be linked to
+        return pa.record_batch([pa.array(np.ones(len(token), bool)), pa.array(token), pa.array(node), pa.array(hidden.astype(np.int32))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -202,14 +213,12 @@ def _lists(percent: int):
             tail = int(np.searchsorted(rows[0], rows[0][-1]))
             yield from pairs(*(r[:tail] for r in rows))
             held = [r[tail:] for r in rows]
-            distinct = len(np.unique(held[1]))
-            if distinct > 4 * LIST:  # a long list goes on with its first nodes alone: enough to know that it is long
-                first = held[1][0]
-                spokes = np.unique(held[1][1:])
-                spokes = spokes[spokes != first]
-                yield pa.record_batch([pa.array(np.ones(len(spokes), bool)), pa.array(np.full(len(spokes), first)), pa.array(spokes), pa.array(np.zeros(len(spokes), np.int32))], names)
-                some = np.unique(held[1], return_index=True)[1][: LIST + 1]
+            if len(held[1]) > 8 * LIST:
+                some = np.unique(held[1], return_index=True)[1]
                 held = [h[some] for h in held]
+                if len(some) > 4 * LIST:  # a long list goes on with a few of its nodes: enough to know that it is long
+                    yield long(*(h[LIST + 1 :] for h in held[:3]))
+                    held = [h[: LIST + 1] for h in held]
         if held is not None:
             yield from pairs(*held)
 
@@ -329,13 +338,19 @@ def links(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     met = prefixes.repartition(n_tasks, "token").sortWithinPartitions("token", "node").mapInArrow(_lists(percent), _LISTS)
     met = stage(met, "lists")
 
-    groups = components(met.filter("dense").select("a", "b"))
+    in_long = met.filter("dense").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("least").alias("hidden")).distinct()
+    heavy = stage(in_long.groupBy("node").agg(F.count(F.lit(1)).alias("h"), F.min("hidden").alias("hidden")), "heavy")
+    left = in_long.join(heavy.filter("h >= hidden").select("node"), "node", "left_semi").select("token", "node")
+    hubs = left.groupBy("token").agg(F.min("node").alias("hub"))
+    groups = components(left.join(hubs, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     in_group = stage(groups.unionAll(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
     counted = met.filter("not dense").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"))
-    counted = counted.filter("shared >= least").select("a", "b")
     for side in ("a", "b"):
-        counted = counted.join(in_group.select(F.col("node").alias(side), F.col("root").alias(f"g_{side}")), side, "left")
-    pairs = stage(counted.filter("g_a is null or g_b is null or g_a <> g_b").select("a", "b"), "pairs")
+        known = heavy.join(in_group, "node", "left").select(F.col("node").alias(side), F.col("h").alias(f"h_{side}"), F.col("root").alias(f"g_{side}"))
+        counted = counted.join(known, side, "left")
+    hot = F.least(F.coalesce("h_a", F.lit(0)), F.coalesce("h_b", F.lit(0)))
+    apart = F.col("g_a").isNull() | F.col("g_b").isNull() | (F.col("g_a") != F.col("g_b"))
+    pairs = stage(counted.filter((F.col("shared") >= F.col("least") - hot) & apart).select("a", "b"), "pairs")
 
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(in_group.select("node")).distinct()
     chosen = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_doc", "_alt", "n")).alias("k")).select("node", "k.*")
