@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 
-from penstock.llm import op2_chat_format, op3_suffix_dedup, op4_quality, op5_mixing, op6_decontaminate, op7_pii, op8_line_dedup, op9_sharding, op10_jaccard_join
+from penstock.llm import (
+    op1_ann, op2_chat_format, op3_suffix_dedup, op4_quality, op5_mixing, op6_decontaminate, op7_pii, op8_line_dedup, op9_sharding, op10_jaccard_join,
+)
 
 QUERIES = {
+    "op1_ann": op1_ann.digest,
     "op2_chat_format": op2_chat_format.digest,
     "op3_suffix_dedup": op3_suffix_dedup.digest,
     "op4_quality": op4_quality.digest,
