@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from penstock.llm import textops as T
@@ -383,3 +383,20 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of `docs`, one of each group: of linked rows, and of rows that repeat id and text, the first. Rows without words stay.
+
+    All columns stay, whatever their names.
+    """
+    texts = keyed_documents(docs)
+    rows, edges = links(texts, size, percent)
+    roots = components(edges)
+    firsts = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("_doc", "_alt")).alias("k"))
+    classes = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k"))
+    kept = classes.select("k.*").unionAll(rows.filter("n = 0").select("_doc", "_alt").distinct())
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    whole = keyed_documents(docs, row).join(stage(kept, "kept"), ["_doc", "_alt"])
+    first = F.row_number().over(Window.partitionBy("_doc", "_alt").orderBy(F.xxhash64("row")))
+    return whole.withColumn("_k", first).filter((F.col("_k") == 1) | ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("row.*")

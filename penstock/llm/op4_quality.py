@@ -44,7 +44,7 @@ def statistics(text: Column) -> dict[str, Column]:
     return {
         "words": F.log1p(n.cast("double")),
         "word_length": per(chars, n),
-        "distinct_words": per(F.size(F.array_distinct(words)), n),
+        "distinct_words": per(F.log1p(F.size(F.array_distinct(words)).cast("double")), F.log1p(n.cast("double"))),  # hardly depends on length
         "distinct_lines": per(F.size(F.array_distinct(lines)), F.size(lines)),
         "line_words": per(n, F.size(lines)),
         "upper": per(count("\\p{Lu}"), chars),
