@@ -15,6 +15,7 @@ from penstock.operators.joins import small_side
 
 NO_ID = -(1 << 63)
 BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +43,16 @@ def doc_id() -> Column:
     return F.when(F.col("_doc") != F.lit(NO_ID), F.col("_doc")).alias("doc_id")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel in Arrow batches of at most `BATCH_ROWS` rows, which bounds both sides' buffers."""
+    if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
 def in_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, np.ndarray | pa.Array] | None], schema: str) -> DataFrame:
     """`mapInArrow` over batches of bounded rows; `work` gives the columns of its result, by name."""
     names = StructType.fromDDL(schema).names
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from penstock.llm import textops as T
-from penstock.llm.common import BATCH_ROWS, NO_ID, doc_id, in_arrow, keyed_documents, packed, table, tasks_for, unpack
+from penstock.llm.common import BATCH_ROWS, NO_ID, doc_id, in_arrow, keyed_documents, packed, small_batches, table, tasks_for, unpack
 from penstock.llm.components import components
 from penstock.sources.staging import stage
 
@@ -331,6 +331,7 @@ def links(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     """`(_doc, _alt, n, node)` for each row of `texts`, and a spanning set of links `(a, b)` between nodes."""
     spark = texts.sparkSession
     n_tasks = tasks_for(spark)
+    small_batches(spark)
     found = stage(texts.select("_doc", "_alt", "text").mapInArrow(_sets(size), "_doc long, _alt long, n long, node long, chunk int, counts binary"), "sets")
     shared = spark.sparkContext.broadcast(_excess(_sketch(found)))
     rows = found.filter("chunk is null").select("_doc", "_alt", "n", "node")
