@@ -113,7 +113,8 @@ def _hashed(dim: int, signs: np.ndarray, probes: int):
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosine of each pair of rows, summed in one order, so equal vectors get equal scores."""
+    """Cosine of each pair of rows, summed in one order, so equal vectors get equal scores; powers of two keep tiny and huge rows in range."""
+    q, x = (np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True, initial=0.0))[1]) for m in (q, x))
     return (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
 
 
@@ -128,8 +129,7 @@ def best_of(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k:
     else:
         near = rough > -np.inf
     a, b = np.nonzero(near)
-    scale = lambda m: m / np.maximum(np.abs(m).max(axis=1, keepdims=True), 1e-300) if len(m) and (np.abs(m).max() > 1e140 or np.abs(m).max() < 1e-140) else m
-    score = cosines(scale(q[a]), scale(x[b]))
+    score = cosines(q[a], x[b])
     order = np.lexsort((x_id[b], -score, a))
     a, b, score = a[order], b[order], score[order]
     place = np.arange(len(a)) - np.searchsorted(a, a)
