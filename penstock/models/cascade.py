@@ -102,27 +102,29 @@ def run_grid(
 ) -> DataFrame:
     """Result table with one row per (config, edge share).
 
-    The central model is fitted once per configuration on all training rows. A cell that fails is kept as a row with
-    its error, and the grid goes on. Only the numbers of a cell come to the driver.
+    A central model is fitted once on all training rows for all configurations that share its parameters. A cell
+    that fails is kept as a row with its error, and the grid goes on. Only the numbers of a cell come to the driver.
     """
     spark = train.sparkSession
     weighted = balanced_weights(train)
-    rows = []
+    rows, fitted = [], {}
     for config in configs:
-        start = time.perf_counter()
         try:
-            central = fit_trees(weighted, config.central, "weight")
+            if config.central not in fitted:
+                start = time.perf_counter()
+                model = fit_trees(weighted, config.central, "weight")
+                fitted[config.central] = model, time.perf_counter() - start
+            central, central_fit_s = fitted[config.central]
         except Exception as failure:  # noqa: BLE001 - a failed configuration must not stop the grid
-            rows += [{"config_name": config.name, "edge_share": s, "error": str(failure)[:500]} for s in shares]
+            rows += [{"config_name": config.name, "edge_share": s, "error": str(failure)} for s in shares]
             continue
-        central_fit_s = time.perf_counter() - start
         size = saved_size_mb(spark, central) if footprint else None
         for share in shares:
             try:
                 row = run_cell(train, test, central, config, share, key, rule, with_auc, footprint)
                 row |= {"central_fit_s": central_fit_s, "fit_s": central_fit_s + row["edge_fit_s"], "central_size_mb": size}
             except Exception as failure:  # noqa: BLE001
-                row = {"config_name": config.name, "edge_share": share, "error": str(failure)[:500]}
+                row = {"config_name": config.name, "edge_share": share, "error": str(failure)}
             rows.append(row)
     names = [field.strip().split(" ")[0] for field in RESULT_SCHEMA.split(",")]
     table = [tuple({"dataset": dataset, "mode": mode, **row}.get(n) for n in names) for row in rows]

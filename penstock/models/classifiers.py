@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.ml import classification as ml
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -15,18 +17,16 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from penstock.functions.decisions import predicted
 from penstock.functions.draws import seeded_uniform
 from penstock.session import scratch_dir, scratch_path
 
 MAX_DEPTH = 30  # the deepest tree MLlib builds
-MAX_NODES = 2_000_000  # largest ensemble sent to the Python workers, about 80 MB
 
 
 @dataclass(frozen=True)
@@ -41,10 +41,7 @@ class TreeSpec:
     weighted: bool = True
     seed: int = 42
     bins: int = 32
-
-    def small(self, trees: int, depth: int) -> TreeSpec:
-        """The same model cut down for quick runs."""
-        return replace(self, trees=min(self.trees, trees), depth=min(self.depth, depth))
+    bagged: bool = True
 
 
 @dataclass(frozen=True)
@@ -118,71 +115,6 @@ class Scorer:
         return self.model.totalNumNodes
 
 
-class ForestScorer(Scorer):
-    """A forest or boosted ensemble evaluated on Arrow batches.
-
-    MLlib walks the trees row by row; here all trees of a batch go down one level at a time. The nodes come from the
-    saved model, so results are MLlib's own up to rounding. Models beyond `MAX_NODES` are scored by MLlib.
-    """
-
-    def __init__(self, model, boosted: bool):
-        super().__init__(model)
-        self.boosted = boosted
-        self._tables: tuple | None = None
-
-    def _nodes(self, spark: SparkSession) -> tuple:
-        if self._tables is None:
-            path = scratch_path(spark, "forest")
-            self.model.write().save(path)
-            saved = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
-            n = saved.orderBy("treeID", "id").toPandas()  # at most MAX_NODES rows
-            first = n["treeID"].map(n.groupby("treeID").size().cumsum().shift(fill_value=0)).to_numpy()
-            here = first + n["id"].to_numpy()
-            leaf = n["leftChild"].to_numpy() < 0
-            split = n["split"].map(lambda s: (s["featureIndex"], (list(s["leftCategoriesOrThreshold"]) or [0.0])[0]))
-            feature = np.array([max(0, f) for f, _ in split], dtype="int32")
-            threshold = np.array([t for _, t in split], dtype=float)
-            left = np.where(leaf, here, first + n["leftChild"].to_numpy())
-            right = np.where(leaf, here, first + n["rightChild"].to_numpy())
-            if self.boosted:
-                value = n["prediction"].to_numpy() * np.asarray(self.model.treeWeights)[n["treeID"].to_numpy()]
-            else:
-                value = n["impurityStats"].map(lambda s: s[1] / (s[0] + s[1])).to_numpy()
-            roots = np.unique(first)
-            depth, at = 0, roots
-            while len(at := at[~leaf[at]]):
-                at, depth = np.concatenate([left[at], right[at]]), depth + 1
-            child = np.column_stack([left, right]).astype("int32").ravel()
-            self._tables = (feature, threshold, child, value.astype(float), roots.astype("int32"), depth)
-        return self._tables
-
-    def score(self, df: DataFrame, out: str = "p") -> DataFrame:
-        if self.nodes > MAX_NODES:
-            return super().score(df, out)
-        tables = df.sparkSession.sparkContext.broadcast(self._nodes(df.sparkSession))  # size checked above
-        boosted = self.boosted
-
-        @F.arrow_udf(DoubleType())
-        def attack(features: pa.Array) -> pa.Array:
-            feature, threshold, child, value, roots, depth = tables.value
-            result = np.empty(len(features))
-            cells = features.flatten().to_numpy(zero_copy_only=False)
-            width = len(cells) // max(1, len(features))
-            for start in range(0, len(features), 1024):
-                n = min(1024, len(features) - start)
-                x = cells[start * width : (start + n) * width]
-                row = (np.arange(n, dtype="int32") * width)[:, None]
-                at = np.broadcast_to(roots, (n, len(roots)))
-                for _ in range(depth):
-                    goes_right = x.take(row + feature.take(at)) > threshold.take(at)
-                    at = child.take(2 * at + goes_right)
-                total = value.take(at).sum(axis=1)
-                result[start : start + n] = 1.0 / (1.0 + np.exp(-2.0 * total)) if boosted else total / len(roots)
-            return pa.array(result)
-
-        return df.withColumn(out, attack(vector_to_array(F.col("features"))))
-
-
 class MarginScorer(Scorer):
     """A classifier without probabilities: P is the logistic of its margin."""
 
@@ -191,6 +123,9 @@ class MarginScorer(Scorer):
         return self.model.transform(df).select(*df.columns, (1.0 / (1.0 + F.exp(-margin))).alias(out))
 
 
+Cuts = list[list[float]]  # per feature, the inner cut points in ascending order
+
+
 class ExtraTrees(Scorer):
     """Mean of trees, each grown on its own random cut points.
 
@@ -199,68 +134,80 @@ class ExtraTrees(Scorer):
     an approximation of the published learner.
     """
 
-    def __init__(self, trees: list[tuple[Bucketizer, VectorAssembler, object]], width: int):
-        self.trees, self.width = trees, width
+    def __init__(self, trees: list[tuple[Cuts, object]]):
+        self.trees = trees
 
     def score(self, df: DataFrame, out: str = "p") -> DataFrame:
-        wide = _spread(df, self.width)
-        votes = []
-        for i, (buckets, vector, tree) in enumerate(self.trees):
+        scored, votes = df, []
+        for i, (cuts, tree) in enumerate(self.trees):
             name = f"_p{i}"
-            scored = tree.transform(vector.transform(buckets.transform(wide)))
-            wide = scored.select(*wide.columns, attack_probability().alias(name))
+            scored = tree.transform(_cut(scored, cuts)).select(*scored.columns, attack_probability().alias(name))
             votes.append(F.col(name))
-        return wide.select(*df.columns, (sum(votes[1:], votes[0]) / len(votes)).alias(out))
+        return scored.select(*df.columns, (sum(votes[1:], votes[0]) / len(votes)).alias(out))
 
     def save(self, path: str) -> None:
-        for i, (_, _, tree) in enumerate(self.trees):
+        for i, (_, tree) in enumerate(self.trees):
             tree.write().overwrite().save(f"{path}/tree-{i}")
+        rows = [(i, cuts) for i, (cuts, _) in enumerate(self.trees)]
+        spark = SparkSession.active()
+        spark.createDataFrame(rows, "tree int, cuts array<array<double>>").coalesce(1).write.mode("overwrite").parquet(f"{path}/cuts")
 
     @property
     def nodes(self) -> int:
-        return sum(tree.numNodes for _, _, tree in self.trees)
+        return sum(tree.numNodes for _, tree in self.trees)
+
 
+def _cut(df: DataFrame, cuts: Cuts) -> DataFrame:
+    """Add `_cut`: for each feature the number of cut points at or below it, in one expression."""
+    below = F.zip_with(vector_to_array("features"), F.lit(cuts), lambda x, c: F.size(F.filter(c, lambda v: v <= x)).cast("double"))
+    return df.withColumn("_cut", array_to_vector(below))
 
-def _spread(df: DataFrame, width: int) -> DataFrame:
-    """Feature vector as columns `_x0…`."""
-    return df.withColumn("_a", vector_to_array("features")).select(
-        *df.columns, *[F.col("_a")[i].alias(f"_x{i}") for i in range(width)]
-    )
+
+FITS_AT_ONCE = 4
 
 
 def fit_extra_trees(train: DataFrame, spec: TreeSpec, weight: str | None, cuts: int = 32) -> ExtraTrees:
-    width = len(train.select("features").first()["features"])
-    wide = _spread(train, width).persist()
-    edges = wide.agg(
-        *[F.min(f"_x{i}").alias(f"a{i}") for i in range(width)], *[F.max(f"_x{i}").alias(f"b{i}") for i in range(width)]
-    ).first()
+    cells = train.select(F.posexplode(vector_to_array("features")).alias("i", "x"))
+    edges = {r["i"]: (r["a"], r["b"]) for r in cells.groupBy("i").agg(F.min("x").alias("a"), F.max("x").alias("b")).collect()}
+    width = len(edges)
     draws = train.sparkSession.range(spec.trees * width * cuts)
     draws = [r["u"] for r in draws.orderBy("id").select(seeded_uniform(f"{spec.seed}:cut", "id").alias("u")).collect()]
-    trees = []
     subset = max(1, int(width**0.5)) / width
+
+    def grow(t: int) -> tuple[Cuts, object]:
+        points = []
+        for i in range(width):
+            low, high = edges[i]
+            points.append(sorted({low + u * (high - low) for u in draws[(t * width + i) * cuts : (t * width + i + 1) * cuts]}))
+        # One unbagged tree that looks at a random subset of features in each node.
+        learner = RandomForestClassifier(
+            featuresCol="_cut", numTrees=1, bootstrap=False, featureSubsetStrategy=str(subset) if subset < 1 else "all",
+            maxDepth=min(spec.depth, MAX_DEPTH), minInstancesPerNode=spec.min_leaf, maxBins=cuts + 2, seed=spec.seed + t,
+        )
+        learner = learner.setWeightCol(weight) if weight else learner
+        return points, learner.fit(_cut(kept, points)).trees[0]
+
+    kept = train.select("features", "label", *([weight] if weight else [])).persist()
     try:
-        for t in range(spec.trees):
-            splits = []
-            for i in range(width):
-                low, high = edges[f"a{i}"], edges[f"b{i}"]
-                at = draws[(t * width + i) * cuts : (t * width + i + 1) * cuts]
-                inner = sorted({low + u * (high - low) for u in at})
-                splits.append([float("-inf"), *inner, float("inf")])
-            names = [f"_b{i}" for i in range(width)]
-            buckets = Bucketizer(splitsArray=splits, inputCols=[f"_x{i}" for i in range(width)], outputCols=names)
-            vector = VectorAssembler(inputCols=names, outputCol="_cut")
-            # One unbagged tree that looks at a random subset of features in each node.
-            learner = RandomForestClassifier(
-                featuresCol="_cut", numTrees=1, bootstrap=False, featureSubsetStrategy=str(subset) if subset < 1 else "all",
-                maxDepth=min(spec.depth, MAX_DEPTH), minInstancesPerNode=spec.min_leaf, maxBins=cuts + 2, seed=spec.seed + t,
-            )
-            if weight:
-                learner = learner.setWeightCol(weight)
-            tree = learner.fit(vector.transform(buckets.transform(wide)))
-            trees.append((buckets, vector, tree.trees[0]))
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            return ExtraTrees(list(pool.map(grow, range(spec.trees))))
     finally:
-        wide.unpersist()
-    return ExtraTrees(trees, width)
+        kept.unpersist()
+
+
+def load_scorer(spark: SparkSession, path: str) -> Scorer:
+    """A saved scorer of any kind."""
+
+    def load(at: str):
+        meta = json.loads(spark.read.text(f"{at}/metadata").first()["value"])
+        return getattr(ml, meta["class"].rsplit(".", 1)[-1]).load(at)
+
+    try:
+        model = load(path)
+    except AnalysisException:  # extra-trees keep one folder per tree
+        rows = spark.read.parquet(f"{path}/cuts").orderBy("tree").collect()
+        return ExtraTrees([([list(c) for c in r["cuts"]], load(f"{path}/tree-{r['tree']}")) for r in rows])
+    return MarginScorer(model) if isinstance(model, ml.LinearSVCModel) else Scorer(model)
 
 
 def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None, validation: str | None = None) -> Scorer:
@@ -282,11 +229,12 @@ def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None, valid
     else:
         learner = RandomForestClassifier(
             numTrees=spec.trees, maxDepth=min(spec.depth, MAX_DEPTH), minInstancesPerNode=spec.min_leaf, seed=spec.seed,
-            maxBins=spec.bins,
+            maxBins=spec.bins, bootstrap=spec.bagged,
+            featureSubsetStrategy="auto" if spec.bagged else "all",
         )
     if weight:
         learner = learner.setWeightCol(weight)
-    return ForestScorer(learner.fit(train), boosted=spec.kind == "boosted")
+    return Scorer(learner.fit(train))
 
 
 def fit_logistic(train: DataFrame, weight: str | None = None, max_iter: int = 100) -> Scorer:

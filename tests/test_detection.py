@@ -125,7 +125,7 @@ def blobs(spark):
     return df.filter("id < 280"), df.filter("id >= 280")
 
 
-@pytest.mark.parametrize("spec", [M.CONFIGS[0].edge.small(5, 4), M.CONFIGS[2].edge.small(4, 5), M.CONFIGS[1].central.small(4, 3)])
+@pytest.mark.parametrize("spec", [M.TreeSpec("forest", 5, 4, 5), M.TreeSpec("extra", 4, 5, 5), M.TreeSpec("boosted", 4, 3, weighted=False)])
 def test_ensembles_learn(blobs, spec):
     train, test = blobs
     scorer = M.fit_trees(balanced_weights(train), spec, "weight")
@@ -135,12 +135,27 @@ def test_ensembles_learn(blobs, spec):
     assert scorer.nodes > 0
 
 
-@pytest.mark.parametrize("spec", [M.CONFIGS[0].edge.small(7, 6), M.CONFIGS[1].central.small(6, 4)])
-def test_batch_scoring_equals_mllib(blobs, spec):
+@pytest.mark.parametrize("kind", ["forest", "extra", "boosted", "logistic", "svc"])
+def test_saved_models_score_alike(spark, blobs, tmp_path, kind):
     train, test = blobs
-    scorer = M.fit_trees(balanced_weights(train), spec, "weight")
-    both = M.Scorer(scorer.model).score(scorer.score(test, "fast"), "slow")
-    assert both.agg(F.max(F.abs(F.col("fast") - F.col("slow")))).first()[0] < 1e-9
+    fits = {"logistic": M.fit_logistic, "svc": M.fit_linear_svc}
+    scorer = fits[kind](train) if kind in fits else M.fit_trees(train, M.TreeSpec(kind, 3, 3))
+    scorer.save(f"{tmp_path}/model")
+    again = M.load_scorer(spark, f"{tmp_path}/model")
+    both = again.score(scorer.score(test, "a"), "b")
+    assert both.filter("a is null or b is null or a <> b").count() == 0
+
+
+def test_nominal_features(spark):
+    from pyspark.ml.feature import StringIndexer
+
+    rows = spark.range(900).select("id", F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") % 3 + 1).cast("int")).alias("kind"))
+    rows = rows.withColumn("label", (F.col("kind") == "b").cast("int"))
+    coded = StringIndexer(inputCol="kind", outputCol="k").fit(rows).transform(rows)
+    data = M.assemble(coded, ["k"])
+    for kind in ("forest", "boosted"):
+        scored = M.fit_trees(data, M.TreeSpec(kind, 5, 3)).classify(data)
+        assert scored.filter("prediction <> label").count() == 0
 
 
 def test_linear_baselines_learn(blobs):
