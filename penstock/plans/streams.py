@@ -11,6 +11,7 @@ from penstock.operators.scale import fit_params, load_params, params_dict, save_
 from penstock.plans.inputs import READINGS, rounded, table
 from penstock.plans.registry import query
 from penstock.session import scratch_path
+from penstock.sources.staging import stage
 from penstock.streaming import online
 
 
@@ -18,6 +19,22 @@ def _events(spark, sf_dir):
     return online.read_stream(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema)
 
 
+_FILES = 5
+
+
+def _shuffled_events(spark, sf_dir):
+    """The events as several files in order of arrival, one per micro-batch: each row arrives up to nine minutes late."""
+    e = table(spark, sf_dir, "events")
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + seeded_uniform("delay", "event_id") * 540e6
+    late = stage(e.withColumn("_arrival", arrival), "arrivals")
+    low, high = late.agg(F.min("_arrival"), F.max("_arrival")).first()
+    part = F.least(F.floor((F.col("_arrival") - low) / (high - low + 1) * _FILES), F.lit(_FILES - 1))
+    path = scratch_path(spark, "arrivals")
+    for k in range(_FILES):
+        late.filter(part == k).drop("_arrival").coalesce(1).write.mode("append").parquet(path)
+    return online.read_stream(spark, path, e.schema, max_files=1)
+
+
 def _stored_params(spark, sf_dir):
     """Scaler of the training period, through its stored table."""
     path = scratch_path(spark, "online-scaler")
@@ -54,11 +71,13 @@ def t1_online_scoring(spark, sf_dir):
 
 @query("t1_online_model")
 def t1_online_model(spark, sf_dir):
-    """Stream of readings scored by a fitted model."""
+    """Stream of readings scored by a model that was saved and loaded again."""
     params = _stored_params(spark, sf_dir)
     e = table(spark, sf_dir, "events").select("value", (F.col("event_type") == "error").cast("int").alias("label"))
     lone = e.withColumn("value", (F.col("value") - params["value"]["min"]) / (params["value"]["max"] - params["value"]["min"]))
-    scorer = M.fit_logistic(M.assemble(lone, ["value"]), max_iter=10)
+    path = scratch_path(spark, "online-model")
+    M.fit_logistic(M.assemble(lone, ["value"])).save(path)
+    scorer = M.load_scorer(spark, path)
 
     def decide(df):
         return scorer.classify(M.assemble(df, ["value"])).drop("features")
@@ -68,12 +87,14 @@ def t1_online_model(spark, sf_dir):
 
 @query(
     "t2_recent_rows",
-    """SELECT user_id AS entity, epoch_us(ts) AS at, round(avg(value) OVER w, 6) AS mean, count(*) OVER w AS n
-       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS 3 PRECEDING)""",
+    """WITH m AS (SELECT (epoch_ms(max(ts)) - 600000) * 1000 AS mark FROM events),
+    r AS (SELECT user_id AS entity, epoch_us(ts) AS "at", avg(value) OVER w AS mean, count(*) OVER w AS n
+          FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value ROWS 3 PRECEDING))
+    SELECT entity, "at", round(mean, 6) AS mean, n FROM r, m WHERE "at" < mark""",
 )
 def t2_recent_rows(spark, sf_dir):
-    """Mean of the last four readings per entity from a bounded state."""
-    return rounded(online.run_available(online.recent_rows(_events(spark, sf_dir), "user_id", "ts", "value"), "t2"), "mean")
+    """Mean of the last four readings per entity over several micro-batches with rows out of order; readings the watermark has passed."""
+    return rounded(online.run_available(online.recent_rows(_shuffled_events(spark, sf_dir), "user_id", "ts", "value"), "t2"), "mean")
 
 
 @query(
@@ -84,5 +105,5 @@ def t2_recent_rows(spark, sf_dir):
 )
 def t3_escalation_monitor(spark, sf_dir):
     """Escalated readings per hour; hours the watermark has passed."""
-    stream = _events(spark, sf_dir).withColumn("escalated", seeded_uniform("edge", "event_id") > 0.7)
+    stream = _shuffled_events(spark, sf_dir).withColumn("escalated", seeded_uniform("edge", "event_id") > 0.7)
     return online.run_available(online.escalation_monitor(stream, "ts", "escalated"), "t3")

@@ -1,7 +1,6 @@
 """Structured Streaming: online scoring, recent-row buffers and monitors.
 
-Streams read files as they arrive; `maxBytesPerTrigger` bounds a micro-batch, so state functions never see more
-of one key than one bounded batch. Sources without zone in their timestamps are cast under a UTC session.
+Streams read files as they arrive, at most about `max_bytes` or `max_files` per micro-batch; a file is never split. Sources without zone in their timestamps are cast under a UTC session.
 """
 
 from __future__ import annotations
@@ -24,9 +23,11 @@ BATCH_BYTES = 256 * 1024 * 1024
 BUFFER_ROWS = 4
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_bytes: int = BATCH_BYTES) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_bytes: int = BATCH_BYTES, max_files: int | None = None) -> DataFrame:
     """Parquet files as a stream; `path` is a folder or a glob."""
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(path)
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader.option("maxBytesPerTrigger", max_bytes)
+    return reader.parquet(path)
 
 
 def run_available(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
@@ -51,28 +52,41 @@ def score_online(stream: DataFrame, params: Params, score: Callable[[DataFrame],
 
 
 def recent_rows(
-    stream: DataFrame, entity: str, order: str, value: str, width: int = BUFFER_ROWS, watermark: str = WATERMARK
+    stream: DataFrame, entity: str, order: str, value: str, width: int = BUFFER_ROWS, watermark: str = WATERMARK, idle_ms: int | None = None
 ) -> DataFrame:
-    """`(entity, order, mean, n)` of the last `width` values per entity, from a bounded state.
+    """`(entity, order, mean, n)` of the last `width` values per entity in event-time order.
 
-    The state of an entity is its last `width` (order, value) pairs. Rows of a micro-batch are sorted before they
-    pass the buffer; a row older than the newest buffered one is late and is dropped.
+    A row waits in its entity's state until the watermark has passed it; waiting rows are then emitted in time order, ties by
+    value, so the result does not depend on files or micro-batches. Rows older than the watermark are late and dropped. The state holds the
+    rows of the watermark's delay and the last `width` values. It is kept for entities that fall silent, unless `idle_ms`
+    tells after how long (in event time) it may go; an entity that comes back later then starts anew.
     """
     entity_type = stream.schema[entity].dataType.simpleString()
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times, values = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(list(frames)).sort_values("_at", kind="stable")
-        if times:
-            rows = rows[rows["_at"] >= times[-1]]
-        seen = pd.Series([*values, *rows["_value"].astype(float)])
-        recent = seen.rolling(width, min_periods=1)
-        out = pd.DataFrame({"at": rows["_at"].to_numpy(), "mean": recent.mean()[len(values) :].to_numpy()})
+        times, values, last = (list(x) for x in state.get) if state.exists else ([], [], [])
+        silent = state.hasTimedOut and not times
+        for frame in frames:
+            times += frame["_at"].astype("int64").tolist()
+            values += frame["_value"].astype(float).tolist()
+        if silent and not times:
+            state.remove()
+            return
+        passed = state.getCurrentWatermarkMs()
+        rows = sorted(zip(times, values, strict=True))
+        ready = [r for r in rows if r[0] < passed * 1000]
+        waiting = rows[len(ready) :]
+        recent = pd.Series([*last, *(v for _, v in ready)], dtype=float).rolling(width, min_periods=1)
+        out = pd.DataFrame({"at": [t for t, _ in ready], "mean": recent.mean()[len(last) :].to_numpy(), "n": recent.count()[len(last) :].astype("int64").to_numpy()})
         out.insert(0, "entity", key[0])
-        out["n"] = recent.count()[len(values) :].astype("int64").to_numpy()
-        times = [*times, *rows["_at"].astype(int)][-width:]
-        state.update((times, seen.tolist()[-width:]))
-        yield out
+        last = [*last, *(v for _, v in ready)][-width:]
+        state.update(([t for t, _ in waiting], [v for _, v in waiting], last))
+        if waiting:
+            state.setTimeoutTimestamp(max(passed, waiting[0][0] // 1000) + 1)
+        elif idle_ms is not None:
+            state.setTimeoutTimestamp(passed + idle_ms)
+        if ready:
+            yield out
 
     timed = stream.withColumn("_ts", F.col(order).cast("timestamp")).withWatermark("_ts", watermark)
     return (
@@ -81,9 +95,9 @@ def recent_rows(
         .applyInPandasWithState(
             step,
             f"entity {entity_type}, at long, mean double, n long",
-            "times array<long>, values array<double>",
+            "times array<long>, values array<double>, last array<double>",
             "append",
-            GroupStateTimeout.NoTimeout,
+            GroupStateTimeout.EventTimeTimeout,
         )
     )
 
