@@ -6,7 +6,6 @@ columns they need.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from penstock.session import scratch_path
@@ -19,16 +18,21 @@ def stage(df: DataFrame, tag: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """True when `path` holds a finished Parquet table.
+    """True when the job that wrote the table at `path` has committed it."""
+    files, folder = _path(spark, path)
+    return files.exists(folder.suffix("/_SUCCESS"))
+
 
-    A half-written folder has no data files at its top level until the job commits.
-    """
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+def clear(spark: SparkSession, path: str) -> None:
+    """Delete a stage, so that the next run writes it again."""
+    files, folder = _path(spark, path)
+    files.delete(folder, True)
 
 
 def materialize(df: DataFrame, path: str, force: bool = False) -> DataFrame:
@@ -43,7 +47,9 @@ QUARTET = ("x_train", "x_test", "y_train", "y_test")
 
 
 def save_quartet(tables: dict[str, DataFrame], folder: str, force: bool = False) -> dict[str, DataFrame]:
-    """Persist features and labels of both splits; stages that exist are kept unless forced."""
+    """Persist features and labels of both splits; kept when all four exist, else all four are written."""
+    spark = next(iter(tables.values())).sparkSession
+    force = force or not all(is_complete(spark, f"{folder}/{name}") for name in QUARTET)
     return {name: materialize(tables[name], f"{folder}/{name}", force) for name in QUARTET}
 
 
