@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penstock.functions.decisions import ratio
+from penstock.functions.decisions import ALARM_FROM, ESCALATE_ABOVE, ratio
 from penstock.operators.ordering import quantiles, running_totals
 
 
@@ -98,8 +98,9 @@ SUMMARY_COLUMNS = (
 
 
 def summary(results: DataFrame) -> DataFrame:
-    """Projection to the short result table."""
-    return results.select(*SUMMARY_COLUMNS)
+    """Projection of a result table (`run_grid`) to the short one, with the thresholds of the confirming cascade."""
+    named = {"escalate_above": F.lit(ESCALATE_ABOVE), "alarm_from": F.lit(ALARM_FROM), "model_size_mb": F.col("edge_size_mb")}
+    return results.select(*[named.get(c, F.col(c)).alias(c) for c in SUMMARY_COLUMNS])
 
 
 def score_thresholds(validation: DataFrame, score: str = "score", base: float = 0.0) -> DataFrame:

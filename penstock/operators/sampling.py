@@ -163,15 +163,12 @@ def _type_of(df: DataFrame, column: str) -> str:
 
 
 def balanced_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
-    """Add the weight `n / (classes * n_class)`; class counts are a driver-side handful."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(1001).collect()}
-    if len(counts) > 1000:
-        raise ValueError("more than 1000 classes")
-    total = sum(counts.values())
-    value = F.lit(None).cast("double")
-    for v, n in counts.items():
-        value = F.when(F.col(label) == F.lit(v), F.lit(total / (len(counts) * n))).otherwise(value)
-    return df.withColumn(weight, value)
+    """Add the weight `n / (classes * n_class)`; the counts are joined, in broadcast form where classes are few."""
+    counts = stage(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), "class-counts")
+    total, classes = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    known = counts.select(F.col(label).alias("_class"), (F.lit(float(total or 0)) / (F.lit(classes) * F.col("n"))).alias("_w"))
+    joined = df.join(small_side(known), df[label] == F.col("_class"), "left")
+    return joined.select(*df.columns, F.col("_w").alias(weight)) if weight not in df.columns else joined.drop(weight).withColumnRenamed("_w", weight).drop("_class")
 
 
 # Fixed value: weight of the attack class in the weighted baseline.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from penstock.functions.decisions import cascade_confirm, cascade_replace, escalate_suspicious, escalate_unsure, predicted
 from penstock.functions.draws import seeded_uniform, uniform_sql
+from penstock.models.classifiers import CONFIGS, EDGE_SHARES
 from penstock.operators import columns as C
 from penstock.operators import episodes, evaluate, impute, profile, scale
 from penstock.operators.ordering import with_row_id
@@ -39,14 +40,14 @@ def _cells(label: str, pred: str, prefix: str = "") -> str:
     )
 
 
-def _metrics(prefix: str = "", digits: int = 9) -> str:
+def _metrics(prefix: str = "", digits: int | None = 9) -> str:
     tn, fp, fn, tp = (prefix + c for c in ("tn", "fp", "fn", "tp"))
 
     def div(a, b):
         return f"CASE WHEN {b} = 0 THEN 0.0 ELSE ({a})::DOUBLE / ({b}) END"
 
     return ", ".join(
-        f"round({e}, {digits}) AS {prefix}{n}"
+        f"{e if digits is None else f'round({e}, {digits})'} AS {prefix}{n}"
         for n, e in (
             ("precision", div(tp, f"{tp} + {fp}")),
             ("recall", div(tp, f"{tp} + {fn}")),
@@ -186,11 +187,7 @@ def e6_cascade_gain(spark, sf_dir):
 
 
 # Experiment cells: six configurations and five edge shares, each with its own seeded edge score.
-_CONFIG_NAMES = (
-    "Config_1_Lightweight", "Config_2_Balanced", "Config_3_FastEdge", "Config_4_Conservative",
-    "Config_5_OptimalBalance", "Config_6_HighAccuracy",
-)
-_SHARES = (0.05, 0.1, 0.15, 0.2, 0.25)
+_CONFIG_NAMES, _SHARES = tuple(c.name for c in CONFIGS), EDGE_SHARES
 
 
 def _results(spark, sf_dir, seed):
@@ -210,8 +207,7 @@ def _results(spark, sf_dir, seed):
     by = ["config_name", "edge_share"]
     report = evaluate.cascade_report(s, by)
     return report.select(
-        *by, "tn", "fp", "fn", "tp", "precision", "recall", F.round("f1", 9).alias("f1"), "accuracy", "fp_rate",
-        F.round("edge_f1", 9).alias("edge_f1"), "escalated", "escalation_rate",
+        *by, "tn", "fp", "fn", "tp", "precision", "recall", "f1", "accuracy", "fp_rate", "edge_f1", "escalated", "escalation_rate",
     )
 
 
@@ -225,7 +221,7 @@ def _results_sql(seed, name):
     {name}_k AS (SELECT config_name, edge_share, {_cells('label', 'edge_class', 'edge_')}, {_cells('label', 'final_class')},
                  count(*) FILTER (WHERE escalated) AS escalated, 100.0 * count(*) FILTER (WHERE escalated) / count(*) AS escalation_rate
                  FROM {name}_d GROUP BY 1, 2),
-    {name} AS (SELECT config_name, edge_share, escalated, escalation_rate, tn, fp, fn, tp, {_metrics()}, {_metrics('edge_')} FROM {name}_k)"""
+    {name} AS (SELECT config_name, edge_share, escalated, escalation_rate, tn, fp, fn, tp, {_metrics(digits=None)}, {_metrics('edge_', None)} FROM {name}_k)"""
 
 
 @query(
@@ -233,26 +229,26 @@ def _results_sql(seed, name):
     f"""WITH {SCORES}, {_results_sql("first", "res")},
     ranked AS (SELECT *, row_number() OVER (PARTITION BY config_name ORDER BY f1 DESC, edge_share) AS r,
                       row_number() OVER (ORDER BY f1 DESC, config_name, edge_share) AS ro FROM res)
-    SELECT config_name AS scope, config_name, edge_share, f1, tp FROM ranked WHERE r = 1
-    UNION ALL SELECT 'overall', config_name, edge_share, f1, tp FROM ranked WHERE ro = 1""",
+    SELECT config_name AS scope, config_name, edge_share, round(f1, 9) AS f1, tp FROM ranked WHERE r = 1
+    UNION ALL SELECT 'overall', config_name, edge_share, round(f1, 9), tp FROM ranked WHERE ro = 1""",
 )
 def e7_best_rows(spark, sf_dir):
     """Best edge share of each configuration, and the best overall."""
     results = stage(_results(spark, sf_dir, "first"), "results")
     each = evaluate.best_rows(results, ["config_name"]).withColumn("scope", F.col("config_name"))
     overall = evaluate.best_rows(results, [], then=("config_name", "edge_share")).withColumn("scope", F.lit("overall"))
-    return each.unionByName(overall).select("scope", "config_name", "edge_share", "f1", "tp")
+    return rounded(each.unionByName(overall).select("scope", "config_name", "edge_share", "f1", "tp"), "f1", digits=9)
 
 
 @query(
     "e8_spread_over_shares",
-    f"""WITH {SCORES}, {_results_sql("first", "res")} SELECT config_name, round(avg(f1), 8) AS mean_f1, round(stddev_samp(f1), 8) AS std_f1,
-        round(avg(escalation_rate), 8) AS mean_escalation FROM res GROUP BY config_name""",
+    f"""WITH {SCORES}, {_results_sql("first", "res")} SELECT config_name, round(avg(f1), 6) AS mean_f1, round(stddev_samp(f1), 6) AS std_f1,
+        round(avg(escalation_rate), 6) AS mean_escalation FROM res GROUP BY config_name""",
 )
 def e8_spread_over_shares(spark, sf_dir):
     """Mean and sample deviation of F1 over the edge shares."""
     return rounded(
-        evaluate.spread_over_shares(_results(spark, sf_dir, "first")), "mean_f1", "std_f1", "mean_escalation", digits=8
+        evaluate.spread_over_shares(_results(spark, sf_dir, "first")), "mean_f1", "std_f1", "mean_escalation", digits=6
     )
 
 
@@ -261,28 +257,25 @@ def e8_spread_over_shares(spark, sf_dir):
     f"""WITH {SCORES}, {_results_sql("first", "ra")}, {_results_sql("second", "rb")},
     a AS (SELECT config_name, avg(f1) AS m, stddev_samp(f1) AS s, avg(escalation_rate) AS e FROM ra GROUP BY 1),
     b AS (SELECT config_name, avg(f1) AS m, stddev_samp(f1) AS s, avg(escalation_rate) AS e FROM rb GROUP BY 1)
-    SELECT config_name, round(a.m, 8) AS mean_f1_a, round(a.s, 8) AS std_f1_a, round(a.e, 8) AS mean_escalation_a,
-           round(b.m, 8) AS mean_f1_b, round(b.s, 8) AS std_f1_b, round(b.e, 8) AS mean_escalation_b, round(abs(a.m - b.m), 8) AS f1_difference
+    SELECT config_name, round(a.m, 6) AS mean_f1_a, round(a.s, 6) AS std_f1_a, round(a.e, 6) AS mean_escalation_a,
+           round(b.m, 6) AS mean_f1_b, round(b.s, 6) AS std_f1_b, round(b.e, 6) AS mean_escalation_b, round(abs(a.m - b.m), 6) AS f1_difference
     FROM a JOIN b USING (config_name)""",
 )
 def u3_compare_datasets(spark, sf_dir):
     """Two result tables side by side."""
     both = evaluate.compare_datasets(_results(spark, sf_dir, "first"), _results(spark, sf_dir, "second"))
-    return rounded(both, *[c for c in both.columns if c != "config_name"], digits=8)
+    return rounded(both, *[c for c in both.columns if c != "config_name"], digits=6)
 
 
 @query(
     "p12_summary_projection",
-    f"""WITH {SCORES}, {_results_sql("first", "res")} SELECT edge_share, f1, precision, recall, accuracy, fp_rate,
-     round(escalation_rate, 9) AS escalation_rate, 0.3::DOUBLE AS escalate_above, 0.95::DOUBLE AS alarm_from,
+    f"""WITH {SCORES}, {_results_sql("first", "res")} SELECT edge_share, round(f1, 9) AS f1, round(precision, 9) AS precision, round(recall, 9) AS recall,
+     round(accuracy, 9) AS accuracy, round(fp_rate, 9) AS fp_rate, round(escalation_rate, 9) AS escalation_rate, 0.3::DOUBLE AS escalate_above, 0.95::DOUBLE AS alarm_from,
      NULL::DOUBLE AS model_size_mb, NULL::DOUBLE AS score_rows_per_s FROM res""",
 )
 def p12_summary_projection(spark, sf_dir):
     """The short result table."""
-    r = _results(spark, sf_dir, "first").select(
-        "*", F.lit(0.3).alias("escalate_above"), F.lit(0.95).alias("alarm_from"),
-        F.lit(None).cast("double").alias("model_size_mb"), F.lit(None).cast("double").alias("score_rows_per_s"),
-    )
+    r = _results(spark, sf_dir, "first").withColumns({"edge_size_mb": F.lit(None).cast("double"), "score_rows_per_s": F.lit(None).cast("double")})
     return rounded(evaluate.summary(r), *METRICS, "escalation_rate", digits=9)
 
 

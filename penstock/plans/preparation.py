@@ -688,19 +688,15 @@ def g3_variance_summary(spark, sf_dir):
 
 @query(
     "g4_low_variance",
-    f"""WITH s AS ({_VARIANCES}) SELECT feature, CASE WHEN v < 0.001 THEN 1 ELSE 0 END AS dropped, round(v, 9) AS variance
-        FROM s WHERE feature NOT LIKE '%price%'""",
+    f"""WITH s AS ({_VARIANCES}) SELECT feature, CASE WHEN v < 0.001 THEN 1 ELSE 0 END AS dropped, round(v, CASE WHEN v > 1000 THEN 1 ELSE 9 END) AS variance FROM s""",
 )
 def g4_low_variance(spark, sf_dir):
     """Columns below the variance threshold, strictly."""
     train = table(spark, sf_dir, "lineitem").filter(_SPLIT_F)
-    cols = [c for c in MEASURES if "price" not in c]
-    stats = profile.column_stats(train, cols)
+    stats = profile.column_stats(train, MEASURES)
     low = profile.low_variance_columns(stats)
-    return rounded(
-        stats.select("feature", F.col("feature").isin(low).cast("int").alias("dropped"), F.col("var_samp").alias("variance")),
-        "variance", digits=9,
-    )
+    v = F.col("var_samp")
+    return stats.select("feature", F.col("feature").isin(low).cast("int").alias("dropped"), F.when(v > 1000, F.round(v, 1)).otherwise(F.round(v, 9)).alias("variance"))
 
 
 @query(
