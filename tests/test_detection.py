@@ -225,10 +225,19 @@ def test_buffer_survives_batches(spark, tmp_path):
 
     add([(1, 30, 3.0), (1, 10, 1.0), (1, 20, 2.0), (2, 10, 7.0)])
     run()
-    add([(1, 50, 5.0), (1, 40, 4.0)])
+    add([(1, 50, 5.0), (1, 40, 4.0), (1, 29, 8.0)])  # the last row is late, but inside the watermark
+    run()
+    add([(3, 5000, 0.0)])
+    run()
+    add([(1, 20, 99.0), (1, 5010, 6.0)])  # the first row is behind the watermark
+    run()
+    add([(3, 9000, 0.0)])
     run()
     got = {(r["entity"], r["at"] // 1_000_000): (r["mean"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got[(1, 30)] == (2.0, 3) and got[(1, 50)] == (3.5, 4) and got[(2, 10)] == (7.0, 1)
+    assert got == {
+        (1, 10): (1.0, 1), (1, 20): (1.5, 2), (1, 29): (11 / 3, 3), (1, 30): (3.5, 4), (1, 40): (4.25, 4), (1, 50): (5.0, 4),
+        (1, 5010): (4.5, 4), (2, 10): (7.0, 1), (3, 5000): (0.0, 1),
+    }
 
 
 def test_pca_variance(blobs):
