@@ -24,7 +24,9 @@ HEADLINE = (
     "n1_chunk_mean_fill",
     "n4_fill_chain",
     "n5_min_max_scale",
+    "n9_interpolate",
     "n10_z_score",
+    "n11_quantile_uniform",
     "g1_class_counts",
     "g3_variance_summary",
     "g5_matrix_stats",
@@ -32,6 +34,9 @@ HEADLINE = (
     "m3_stratified_bootstrap",
     "m6_nearest_neighbors",
     "m1_smote",
+    "l1_random_forest",
+    "l1_forest_on_groups",
+    "l13_knn_classifier",
     "l5_cascade_replace",
     "l6_cascade_confirm",
     "e2_metrics",
@@ -60,8 +65,13 @@ def edge_model(spark, sf_dir: str, cpus: int) -> dict[str, float]:
     scorer = M.fit_trees(sample, M.CONFIGS[3].edge, "weight")
     fit_s = time.perf_counter() - start
     score_s = M.scoring_seconds(scorer, matrix)
+    ten = stage(matrix.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(10)))).repartition(2 * cpus), "matrix-10")
+    ten_s = M.scoring_seconds(scorer, ten)
     rows = matrix.count()
-    return {"fit_s": round(fit_s, 3), "score_s": round(score_s, 3), "rows": rows, "rows_per_s": round(rows / score_s)}
+    return {
+        "fit_s": round(fit_s, 3), "score_s": round(score_s, 3), "rows": rows, "rows_per_s": round(rows / score_s),
+        "score_10x_s": round(ten_s, 3), "rows_per_s_10x": round(10 * rows / ten_s),
+    }
 
 
 def main() -> None:
