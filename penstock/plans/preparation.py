@@ -607,16 +607,14 @@ def n10_z_score(spark, sf_dir):
 _MARKS = "[" + ", ".join(f"{i / 100}" for i in range(101)) + "]"
 
 
-def _uniform_of(c):
+def _uniform_of(c, digits=6):
     """Interpolation on the 101 training quantiles `q_<c>` from below and from above, averaged."""
     up, down = f"len([x for x in q_{c} if x <= {c}])", f"len([x for x in q_{c} if x < {c}]) + 1"
-    return (
-        f"{up} AS u_{c}, {down} AS w_{c}",
-        f"""round(((CASE WHEN u_{c} = 0 THEN 0.0 WHEN u_{c} = 101 THEN 1.0
+    mean = f"""((CASE WHEN u_{c} = 0 THEN 0.0 WHEN u_{c} = 101 THEN 1.0
             ELSE (u_{c} - 1 + ({c} - q_{c}[u_{c}]) / (q_{c}[u_{c} + 1] - q_{c}[u_{c}])) / 100.0 END)
           + (CASE WHEN w_{c} = 102 THEN 1.0 WHEN w_{c} = 1 THEN 0.0
-            ELSE (w_{c} - 1 - (q_{c}[w_{c}] - {c}) / (q_{c}[w_{c}] - q_{c}[w_{c} - 1])) / 100.0 END)) / 2.0, 6) AS {c}""",
-    )
+            ELSE (w_{c} - 1 - (q_{c}[w_{c}] - {c}) / (q_{c}[w_{c}] - q_{c}[w_{c} - 1])) / 100.0 END)) / 2.0"""
+    return f"{up} AS u_{c}, {down} AS w_{c}", f"{mean if digits is None else f'round({mean}, {digits})'} AS {c}"
 
 
 @query(
@@ -632,12 +630,34 @@ def n11_quantile_uniform(spark, sf_dir):
     return rounded(scale.quantile_transform(li, fitted).select("row_key", *MEASURES), *MEASURES)
 
 
-@query("n11_quantile_normal")
+def _normal_of(c):
+    def horner(part, x):
+        out = f"{part[0]!r}::DOUBLE"
+        for k in part[1:]:
+            out = f"({out} * {x} + {k!r}::DOUBLE)"
+        return out
+
+    def fraction(parts, x):
+        return f"({horner(parts[0], x)} / {horner(parts[1], x)})"
+
+    low = f"greatest(least({c}, 1.0::DOUBLE - {c}), {scale.NORMAL_CLIP!r}::DOUBLE)"
+    q, tail = f"({c} - 0.5::DOUBLE)", fraction(scale.NORMAL_TAIL, f"sqrt(-2.0::DOUBLE * ln({low}))")
+    return f"""round(CASE WHEN {low} >= {scale.NORMAL_TAIL_BELOW}::DOUBLE THEN {fraction(scale.NORMAL_CENTRE, f"({q} * {q})")} * {q}
+        WHEN {q} < 0 THEN {tail} ELSE -{tail} END, 5) AS {c}"""
+
+
+@query(
+    "n11_quantile_normal",
+    f"""WITH {LINE_ITEMS}, p AS (SELECT {", ".join(f"quantile_cont({c}, {_MARKS}) AS q_{c}" for c in MEASURES)} FROM lineitem WHERE {_SPLIT_F}),
+    i AS (SELECT *, {", ".join(_uniform_of(c)[0] for c in MEASURES)} FROM lk, p),
+    u AS (SELECT row_key, {", ".join(_uniform_of(c, digits=None)[1] for c in MEASURES)} FROM i)
+    SELECT row_key, {", ".join(_normal_of(c) for c in MEASURES)} FROM u""",
+)
 def n11_quantile_normal(spark, sf_dir):
     """Training quantiles to N(0,1)."""
     li = line_items(spark, sf_dir).select("row_key", "l_linestatus", *MEASURES)
     fitted = scale.fit_quantiles(li.filter(_SPLIT_F), MEASURES, 101)
-    return rounded(scale.quantile_transform(li, fitted, normal=True).select("row_key", *MEASURES), *MEASURES)
+    return rounded(scale.quantile_transform(li, fitted, normal=True).select("row_key", *MEASURES), *MEASURES, digits=5)
 
 
 def _noise_sql(c):
