@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,9 @@ RESULT_SCHEMA = (
 )
 
 
+CELLS_AT_ONCE = 5
+
+
 def score_cascade(df: DataFrame, edge: Scorer, central: Scorer, rule: str = "replace", all_central: bool = False) -> DataFrame:
     """Add p_edge, p_central, escalated, edge_class and final_class.
 
@@ -119,13 +123,16 @@ def run_grid(
             rows += [{"config_name": config.name, "edge_share": s, "error": str(failure)} for s in shares]
             continue
         size = saved_size_mb(spark, central) if footprint else None
-        for share in shares:
+
+        def cell(share: float, config=config, central=central, central_fit_s=central_fit_s, size=size) -> dict:
             try:
                 row = run_cell(train, test, central, config, share, key, rule, with_auc, footprint)
-                row |= {"central_fit_s": central_fit_s, "fit_s": central_fit_s + row["edge_fit_s"], "central_size_mb": size}
+                return row | {"central_fit_s": central_fit_s, "fit_s": central_fit_s + row["edge_fit_s"], "central_size_mb": size}
             except Exception as failure:  # noqa: BLE001
-                row = {"config_name": config.name, "edge_share": share, "error": str(failure)}
-            rows.append(row)
+                return {"config_name": config.name, "edge_share": share, "error": str(failure)}
+
+        with ThreadPoolExecutor(1 if footprint else CELLS_AT_ONCE) as pool:  # one at a time where scoring is timed
+            rows += pool.map(cell, shares)
     names = [field.strip().split(" ")[0] for field in RESULT_SCHEMA.split(",")]
     table = [tuple({"dataset": dataset, "mode": mode, **row}.get(n) for n in names) for row in rows]
     return spark.createDataFrame(table, RESULT_SCHEMA)

@@ -210,12 +210,21 @@ def load_scorer(spark: SparkSession, path: str) -> Scorer:
     return MarginScorer(model) if isinstance(model, ml.LinearSVCModel) else Scorer(model)
 
 
+ROWS_PER_TASK = 20_000
+
+
+def compact(train: DataFrame) -> DataFrame:
+    """Training rows in no more partitions than their number is worth: every level of every tree is a job over all of them."""
+    return train.coalesce(max(1, -(-train.count() // ROWS_PER_TASK)))
+
+
 def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None, validation: str | None = None) -> Scorer:
     """Fit a tree ensemble on `(features, label[, weight])`.
 
     Boosting stops early when `validation` names a boolean column of held-out rows.
     """
     ensure_checkpoints(train.sparkSession)
+    train = compact(train)
     weight = weight if spec.weighted else None
     if spec.kind == "extra":
         return fit_extra_trees(train, spec, weight, spec.bins)
