@@ -141,6 +141,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> R
     rows = stage(with_statistics(texts, F.col("doc_id"), F.col("label"), F.xxhash64("text").alias("t")), "labelled")
     one = rows.repartition(1).sortWithinPartitions("doc_id", "t", "label")  # bounded by fit_rows; one order, so that reruns agree
     one = stage(one.select("*", array_to_vector(F.array(*[f"_s_{c}" for c in NAMES])).alias("features")), "fit")
+    n, ones = one.agg(F.count(F.lit(1)), F.sum("label")).first()  # labels may have no documents here
+    if not n or ones in (0.0, float(n)):
+        share = min(max((ones / n) if n else 0.5, 1e-6), 1 - 1e-6)
+        return RuleModel(math.log(share / (1 - share)))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=5, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=SEED).fit(one)
     rules = sorted({tighten(r) for tree in forest.trees for r in paths(tree.toDebugString)}, key=repr)
     if not rules:
