@@ -16,6 +16,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate.digest,
     "op7_pii": op7_pii.digest,
     "op8_line_dedup": op8_line_dedup.digest,
+    "op8_passage_dedup": op8_line_dedup.passages,
     "op9_sharding": op9_sharding.digest,
     "op10_jaccard_join": op10_jaccard_join.digest,
 }
@@ -97,4 +98,20 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
                sha256(coalesce(kept, '')) AS kept_sha256 FROM l LEFT JOIN s USING (doc_id)
     """,
+    "op8_passage_dedup": r"""
+        WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n]+\n*|\n+') AS l FROM documents),
+        b AS (SELECT *, list_transform(l, lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(10))) AS b FROM l),
+        o AS (SELECT doc_id, unnest(range(1, len(b) + 1)) AS p, b, list_transform(b, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS n FROM b),
+        w AS (SELECT doc_id, p, m, b[p:p + m - 1] AS s FROM o, (SELECT unnest([1, 2, 3]) AS m)
+              WHERE p + m - 1 <= len(b) AND (m = 3 OR list_sum(n[p:p + m - 1]) >= 50)),
+        r AS (SELECT doc_id, p, m, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again FROM w),
+        c AS (SELECT DISTINCT doc_id, p + k AS i FROM r, (SELECT unnest(range(3)) AS k) WHERE again AND k < m),
+        e AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM l),
+        k AS (SELECT e.*, c.i IS NOT NULL AS gone FROM e LEFT JOIN c USING (doc_id, i)),
+        g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM k),
+        s AS (SELECT doc_id, sum(gone::INT) AS n_removed, sum(starts::INT) AS n_runs,
+                     coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+        SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
+               sha256(coalesce(kept, '')) AS kept_sha256 FROM l LEFT JOIN s USING (doc_id)
+    """,
 }

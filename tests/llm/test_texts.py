@@ -112,6 +112,44 @@ def test_line_runs_extend(spark):
     assert got == {1: rows[0][1], 2: "x\ny\n", 3: "b\nc\n", 4: "p\nq\n"}
 
 
+def repeated_lines(rows, run, words):
+    """Text kept of each document by comparing every stretch of lines with all earlier ones."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        lines = re.findall(r"[^\n]+\n*|\n+", t)
+        bare, gone = [x.strip(" \t\r\n") for x in lines], set()
+        for i in range(len(lines)):
+            for m in range(1, run + 1):
+                part = tuple(bare[i : i + m])
+                if len(part) == m and (m == run or sum(len(x.split()) for x in part) >= words):
+                    gone |= set(range(i, i + m)) if part in seen else set()
+                    seen.add(part)
+        out[d] = "".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_long_passages_on_few_lines(spark):
+    def prose(seed, n):
+        return " ".join(f"v{seed}x{k}" for k in range(n))
+
+    one, left, right, short = prose(1, 60), prose(2, 30), prose(3, 30), prose(4, 49)
+    rows = [
+        (1, f"a\n{one}\nb\n{left}\n{right}\nc\n{short}\n"), (2, f"x\n{one}\ny\n"), (3, f"x1\n{left}\n{right}\ny1\n"), (4, f"{short}\n"),
+        (5, f"{one}"), (6, f"  {left}\n\n{right}"), (7, f"{left}\nz\n{right}\n"), (8, f"{one}\n{one}\n"),
+    ]
+    got = {r.doc_id: r.kept for r in op8.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: rows[0][1], 2: "x\ny\n", 3: "x1\ny1\n", 4: rows[3][1], 5: "", 6: "", 7: rows[6][1], 8: ""}
+
+
+@pytest.mark.parametrize("run,words", [(3, 8), (4, 12), (1, 5)])
+def test_line_passages_match_brute_force(spread, run, words):
+    rng = random.Random(run)
+    pool = [" ".join(rng.choices("abcdef", k=rng.randint(0, 2 * words))) for _ in range(40)]
+    rows = [(k, rng.choice(["", " "]) + "\n".join(rng.choices(pool, k=rng.randint(0, 7)))) for k in range(120)]
+    got = {r.doc_id: r.kept for r in op8.dedup_lines(spread.createDataFrame(rows, DOCS), run, words).collect()}
+    assert got == repeated_lines(rows, run, words)
+
+
 # ---- op10
 
 
