@@ -7,7 +7,7 @@ the loss of projection). What meets in a bucket is reranked by exact cosines of
 
 Buckets are cut into blocks of `ROWS` rows and `QUERIES` queries by counts per bucket, so neither a popular direction nor a vector with very many
 copies lands in one task. Of equal vectors only the k + 1 smallest ids are indexed; a query can never need more. Inside a task, the queries of a
-block meet its rows as matrix products, and only the k best of each query leave. A query that found fewer than k (a tiny table) is compared with
+block meet its rows as matrix products, and only the k best ids of each query leave. A query that found fewer than k (a tiny table) is compared with
 the rows of every bucket of the first table.
 
 Results: rows whose id or vector is null, whose vector is zero or empty, holds null or non-finite components, or has another length than most
@@ -119,18 +119,23 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def best_of(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, row of x, score) of the k best of each query, ties to smaller ids. Scores near the k-th are all computed exactly."""
+    """(query row, row of x, score) of the k best ids of each query, each with its best row, ties to smaller ids. Scores near the k-th are all
+    computed exactly."""
     unit = lambda m: m / np.abs(m).max(axis=1, keepdims=True) / np.linalg.norm(m / np.abs(m).max(axis=1, keepdims=True), axis=1, keepdims=True)
     rough = unit(q) @ unit(x).T
     rough[q_id[:, None] == x_id[None, :]] = -np.inf
-    if rough.shape[1] > k:
-        kth = -np.partition(-rough, k - 1, axis=1)[:, k - 1 : k]
-        near = rough >= np.maximum(kth - 1e-9, -2.0)
-    else:
-        near = rough > -np.inf
+    ids, of = np.unique(x_id, return_inverse=True)
+    best = top = rough  # of each id; of the id of each row
+    if len(ids) < len(x_id):
+        by_id = np.argsort(of, kind="stable")
+        best = np.maximum.reduceat(rough[:, by_id], np.searchsorted(of[by_id], np.arange(len(ids))), axis=1)
+        top = best[:, of]
+    least = -np.partition(-best, k - 1, axis=1)[:, k - 1 : k] if best.shape[1] > k else -2.0
+    near = rough >= np.maximum(np.maximum(least, top) - 1e-9, -2.0)
     a, b = np.nonzero(near)
     score = cosines(q[a], x[b])
     order = np.lexsort((x_id[b], -score, a))
+    order = order[np.sort(np.unique(a[order] * len(ids) + of[b[order]], return_index=True)[1])]
     a, b, score = a[order], b[order], score[order]
     place = np.arange(len(a)) - np.searchsorted(a, a)
     keep = place < k

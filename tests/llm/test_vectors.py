@@ -69,6 +69,31 @@ def test_many_copies_and_blocks(spark, monkeypatch):
     assert np.mean([len(set(found[q]) & set(w)) / 5 for q, w in want.items()]) >= 0.97
 
 
+def test_rows_of_one_id_take_one_place(spark):
+    rows = [(1, [1.0, 0.001 * j, 0.0, 0.0]) for j in range(1, 7)] + [(i, [1.0, 0.0, 0.1 * i, 0.0]) for i in range(2, 8)]
+    asked = [(100, [1.0, 0.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0, 0.001])]
+    frame, queries = (spark.createDataFrame(r, "vec_id long, embedding array<double>") for r in (rows, asked))
+    found = {}
+    for r in sorted(ann.nearest(frame, queries).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [i for i, _ in found[100]] == [1, 2, 3, 4, 5] and [i for i, _ in found[1]] == [2, 3, 4, 5, 6]
+    assert found[100][0][1] == ann.cosines(np.array([asked[0][1]]), np.array([rows[0][1]]))[0]
+
+
+def test_best_ids_match_brute_force():
+    rng = np.random.default_rng(7)
+    for k in (1, 3, 50):
+        q, x, q_id, x_id = rng.normal(size=(20, 3)), rng.normal(size=(60, 3)), np.arange(20), rng.integers(0, 25, 60)
+        a, b, score = ann.best_of(q_id, q, x_id, x, k)
+        for i in range(len(q)):
+            best = {}
+            for j in range(len(x)):
+                if x_id[j] != i:
+                    best[int(x_id[j])] = max(best.get(int(x_id[j]), -2.0), float(ann.cosines(q[i : i + 1], x[j : j + 1])[0]))
+            want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:k]
+            assert list(zip(x_id[b[a == i]].tolist(), score[a == i].tolist(), strict=True)) == want
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(frame, frame).collect() == []
