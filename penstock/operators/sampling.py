@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from penstock.functions.draws import seeded_hash, seeded_uniform
 from penstock.operators.joins import salted_join, small_side
-from penstock.operators.ordering import with_row_id
+from penstock.operators.ordering import running_totals, with_row_id
 from penstock.sources.staging import stage
 
 _BUCKET_BITS = 16
 DRAWS_PER_SALT = 1000
+DRAWS_PER_CHUNK = 10_000
 
 
 def sample_size(n_rows: int, share: float, cap: int | None = None) -> int:
@@ -87,33 +88,30 @@ def stratified_split(
     return marked.filter("taken").drop("taken"), marked.filter("not taken").drop("taken")
 
 
-def rank_in_class(df: DataFrame, label: str, key: Sequence[str]) -> tuple[DataFrame, dict]:
-    """(`df` with the dense 0-based `_rank` inside its class, row count by class).
+def rank_in_class(df: DataFrame, label: str, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(`df` with the dense 0-based `_rank` inside its class, staged `(label, n, _start)` with the place of the class in order of labels).
 
-    Classes are few; their counts are the only thing brought to the driver, and that is checked.
+    The counts are joined, in broadcast form where classes are few.
     """
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("more than 1000 classes")
-    sizes = {r[label]: r["n"] for r in rows}
-    ranked = with_row_id(df, [label, *key], "_position")
-    start, offset = F.lit(None).cast("long"), 0
-    for value, n in sizes.items():
-        start = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(offset)).otherwise(start)
-        offset += n
-    return ranked.withColumn("_rank", F.col("_position") - start).drop("_position"), sizes
+    totals = running_totals(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), [label], ["n"])
+    counts = stage(totals.select(label, "n", (F.col("cum_n") - F.col("n")).alias("_start")), "class-counts")
+    starts = small_side(counts.select(F.col(label).alias("_class"), "_start"))
+    ranked = with_row_id(df, [label, *key], "_position").join(starts, F.col(label).eqNullSafe(F.col("_class")), "left")
+    return ranked.select(*df.columns, (F.col("_position") - F.col("_start")).alias("_rank")), counts
 
 
-def draw_rows(ranked: DataFrame, draws: DataFrame, label: str, sizes: dict, drawn: dict) -> DataFrame:
-    """Join draws `(draw, label, _rank)` to the rows they hit.
+def draw_rows(ranked: DataFrame, draws: DataFrame, label: str, counts: DataFrame) -> DataFrame:
+    """Join draws `(draw, label, _rank)` to the rows they hit; `counts` is `(label, n, drawn)`.
 
     A small class can be drawn very often; its rows are copied over salts, one per about 1000 expected hits.
     """
-    salts = F.lit(1).cast("long")
-    for value, n in sizes.items():
-        copies = max(1, -(-drawn.get(value, 0) // (n * DRAWS_PER_SALT))) if n else 1
-        salts = F.when(F.col(label) == F.lit(value), F.lit(copies).cast("long")).otherwise(salts)
-    return salted_join(draws.withColumn("_salts", salts), ranked.withColumn("_salts", salts), [label, "_rank"], "_salts", "draw")
+    copies = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("drawn") / (F.col("n") * DRAWS_PER_SALT)).cast("long"))
+    salts = small_side(counts.select(F.col(label).alias("_class"), copies.alias("_salts")))
+
+    def salted(rows: DataFrame) -> DataFrame:
+        return rows.join(salts, F.col(label) == F.col("_class")).drop("_class")
+
+    return salted_join(salted(draws), salted(ranked), [label, "_rank"], "_salts", "draw")
 
 
 def bootstrap(df: DataFrame, label: str, share: float, key: Sequence[str], seed: int = 42, cap: int | None = None) -> DataFrame:
@@ -121,21 +119,23 @@ def bootstrap(df: DataFrame, label: str, share: float, key: Sequence[str], seed:
 
     Draw j of a class with n rows takes the row ranked `floor(u(seed, class, j) * n)`.
     """
-    ranked, sizes = rank_in_class(df, label, key)
-    spark = df.sparkSession
-    total = sample_size(sum(sizes.values()), share, cap)
-    counts = spark.createDataFrame([(v, n) for v, n in sizes.items()], f"`{label}` {_type_of(df, label)}, n long")
-    quotas = {r[label]: r["quota"] for r in stratum_quotas(counts, total, [label]).collect()}
-    draws, offset = None, 0
-    for value, n in sizes.items():
-        part = spark.range(quotas[value]).select(
-            (F.col("id") + offset).alias("draw"),
-            F.lit(value).cast(_type_of(df, label)).alias(label),
-            F.floor(seeded_uniform(seed, F.lit(str(value)), F.col("id")) * n).cast("long").alias("_rank"),
-        )
-        draws = part if draws is None else draws.unionByName(part)
-        offset += quotas[value]
-    return draw_rows(ranked, draws, label, sizes, quotas).select("draw", *df.columns)
+    ranked, counts = rank_in_class(df, label, key)
+    total = sample_size(counts.agg(F.sum("n")).first()[0] or 0, share, cap)
+    quotas = stage(running_totals(stratum_quotas(counts, total, [label]), [label], ["quota"]), "quotas")
+    # A class that is drawn often is cut into chunks before its draws are listed.
+    last = F.col("quota") - 1
+    chunks = quotas.filter("quota > 0").select(
+        label, "n", last.alias("_last"), (F.col("cum_quota") - F.col("quota")).alias("_start"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / DRAWS_PER_CHUNK))).alias("_chunk"),
+    )
+    spread = chunks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), label, "_chunk")
+    first = F.col("_chunk") * DRAWS_PER_CHUNK
+    listed = spread.select(label, "n", "_start", F.explode(F.sequence(first, F.least(first + DRAWS_PER_CHUNK - 1, F.col("_last")))).alias("_j"))
+    draws = listed.select(
+        (F.col("_start") + F.col("_j")).alias("draw"), label,
+        F.floor(seeded_uniform(seed, F.col(label).cast("string"), F.col("_j")) * F.col("n")).cast("long").alias("_rank"),
+    )
+    return draw_rows(ranked, draws, label, quotas.withColumnRenamed("quota", "drawn")).select("draw", *df.columns)
 
 
 def weighted_draws(df: DataFrame, label: str, n_draws: int, key: Sequence[str], seed: int = 42) -> DataFrame:
@@ -143,23 +143,14 @@ def weighted_draws(df: DataFrame, label: str, n_draws: int, key: Sequence[str],
 
     That is: every class is equally likely, then every row of the class. Adds the draw number `draw`.
     """
-    ranked, sizes = rank_in_class(df, label, key)
-    classes = list(sizes)
-    pick = F.floor(seeded_uniform(f"{seed}:class", F.col("draw")) * len(classes))
-    value, count = F.lit(None).cast(_type_of(df, label)), F.lit(None).cast("long")
-    for i, v in enumerate(classes):
-        value = F.when(pick == i, F.lit(v).cast(_type_of(df, label))).otherwise(value)
-        count = F.when(pick == i, F.lit(sizes[v])).otherwise(count)
-    draws = df.sparkSession.range(n_draws).withColumnRenamed("id", "draw")
-    draws = draws.select(
-        "draw", value.alias(label), F.floor(seeded_uniform(f"{seed}:row", F.col("draw")) * count).cast("long").alias("_rank")
-    )
-    expected = {v: n_draws // len(classes) for v in classes}
-    return draw_rows(ranked, draws, label, sizes, expected).select("draw", *df.columns)
-
-
-def _type_of(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
+    ranked, counts = rank_in_class(df, label, key)
+    classes = counts.count()
+    numbered = small_side(with_row_id(counts.select(label, "n"), [label], "_pick"))
+    pick = F.floor(seeded_uniform(f"{seed}:class", F.col("draw")) * classes).cast("long")
+    draws = df.sparkSession.range(n_draws).withColumnRenamed("id", "draw").withColumn("_pick", pick).join(numbered, "_pick")
+    draws = draws.select("draw", label, F.floor(seeded_uniform(f"{seed}:row", F.col("draw")) * F.col("n")).cast("long").alias("_rank"))
+    expected = counts.withColumn("drawn", F.lit(n_draws // max(1, classes)))
+    return draw_rows(ranked, draws, label, expected).select("draw", *df.columns)
 
 
 def balanced_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:

@@ -22,8 +22,8 @@ def synthetic_rows(df: DataFrame, ratio: float = MINORITY_RATIO, k: int = NEIGHB
     base by its rank among the minority, the neighbour by its rank, and u, each from a seeded hash of j.
     """
     minority = stage(df.filter(F.col("label") == 1).select("id", F.col("vec").cast("array<double>").alias("vec"), "label"), "minority")
-    ranked, sizes = rank_in_class(minority, "label", ["id"])
-    n_minority = sizes.get(1, 0)
+    ranked, counts = rank_in_class(minority, "label", ["id"])
+    n_minority = minority.count()
     n_majority = df.filter(F.col("label") == 0).count()
     wanted = max(0, int(ratio * n_majority) - n_minority)
     near = min(k, n_minority - 1)
@@ -43,7 +43,7 @@ def synthetic_rows(df: DataFrame, ratio: float = MINORITY_RATIO, k: int = NEIGHB
         F.sort_array(F.collect_list(F.struct("rank", "neighbor", "n_vec"))).alias("around")
     )
     bases = ranked.withColumnRenamed("id", "base").join(around.withColumnRenamed("id", "base"), "base")
-    hit = draw_rows(bases, draws, "label", sizes, {1: wanted})
+    hit = draw_rows(bases, draws, "label", counts.withColumn("drawn", F.lit(wanted)))
     picked = hit.withColumn("_n", F.element_at("around", F.col("rank")))
     return picked.select(
         "draw", "base", F.col("_n.neighbor").alias("neighbor"), "u",

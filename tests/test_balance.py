@@ -50,6 +50,19 @@ def test_bootstrap_keeps_shares(spread):
     assert got.select("id").distinct().count() < 1500
 
 
+def test_draws_from_more_than_a_thousand_classes(spread, monkeypatch):
+    monkeypatch.setattr(sampling, "DRAWS_PER_CHUNK", 7)
+    df = spread.range(4800).select("id", F.concat(F.lit("c"), F.col("id") % 1200).alias("label"))
+    got = sampling.bootstrap(df, "label", 0.5, ["id"])
+    counts = {r["label"]: r["count"] for r in got.groupBy("label").count().collect()}
+    assert len(counts) == 1200 and set(counts.values()) == {2}
+    assert sorted(r["draw"] for r in got.select("draw").collect()) == list(range(2400))
+    drawn = sampling.weighted_draws(df, "label", 24000, ["id"])
+    assert drawn.count() == drawn.select("draw").distinct().count() == 24000 and drawn.select("label").distinct().count() == 1200
+    big = sampling.bootstrap(spread.range(3000).select("id", F.lit("a").alias("label")), "label", 1.0, ["id"])
+    assert sorted(r["draw"] for r in big.select("draw").collect()) == list(range(3000))
+
+
 def test_few_rows_drawn_very_often(spread):
     df = spread.range(3001).select("id", (F.col("id") == 0).cast("int").alias("label"))
     got = sampling.weighted_draws(df, "label", 6000, ["id"])
