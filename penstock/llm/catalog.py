@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from penstock.llm import (
     op1_ann, op2_chat_format, op3_suffix_dedup, op4_quality, op5_mixing, op6_decontaminate, op7_pii, op8_line_dedup, op9_sharding, op10_jaccard_join,
+    op11_hard_negatives,
 )
 
 QUERIES = {
@@ -19,9 +20,11 @@ QUERIES = {
     "op8_passage_dedup": op8_line_dedup.passages,
     "op9_sharding": op9_sharding.digest,
     "op10_jaccard_join": op10_jaccard_join.digest,
+    "op11_hard_negatives": op11_hard_negatives.digest,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_hard_negatives": op11_hard_negatives.ORACLE,
     "op3_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS p, h FROM d WHERE length(h) >= 200),
