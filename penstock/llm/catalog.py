@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from penstock.llm import (
     op1_ann, op2_chat_format, op3_suffix_dedup, op4_quality, op5_mixing, op6_decontaminate, op7_pii, op8_line_dedup, op9_sharding, op10_jaccard_join,
-    op11_hard_negatives, op12_language_id,
+    op11_hard_negatives, op12_language_id, op13_prefix_trie,
 )
 
 QUERIES = {
@@ -22,6 +22,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join.digest,
     "op11_hard_negatives": op11_hard_negatives.digest,
     "op12_language_id": op12_language_id.digest,
+    "op13_prefix_trie": op13_prefix_trie.digest,
 }
 
 ORACLES: dict[str, str] = {
