@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penstock.llm.common import small_batches, table
 
 BITS, DIM, GRAMS, EPOCHS, STEPS, RATE, SEED = 16, 16, 4, 5, 100_000, 0.3, 13
-FIT_DOCS, FIT_NNZ, CALIBRATE, TARGET = 20_000, 8_000_000, 10, 0.99
+FIT_DOCS, FIT_NNZ, CALIBRATE, TARGET = 20_000, 4_000_000, 10, 0.99
 CHARS = 1 << 21
 FOLDS, HELD_OUT = 3, 1
 _P, _MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
@@ -108,20 +109,23 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def sgd(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED):
-    """Embeddings, weights and biases from (buckets, weights) bags; one document a step, the step falling linearly to 0.
+def sgd(bag: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, classes: int, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED):
+    """Embeddings, weights and biases from bags `(start, buckets, weights)` (row i: start[i]:start[i+1]); one document a step, the
+    step falling linearly to 0.
 
     At least `epochs` passes, and more on a small sample until some `STEPS` steps are made."""
-    epochs = max(epochs, min(200, -(-STEPS // max(1, len(docs)))))
+    start, buckets, weights = bag
+    n = len(start) - 1
+    epochs = max(epochs, min(200, -(-STEPS // max(1, n))))
     rng = np.random.default_rng(seed)
     emb = (rng.uniform(-1, 1, size=(1 << BITS, DIM)) / DIM).astype(np.float64)
     w, b = np.zeros((DIM, classes)), np.zeros(classes)
-    steps, t = max(1, epochs * len(docs)), 0
+    steps, t = max(1, epochs * n), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(docs)):
+        for i in rng.permutation(n):
             lr = rate * (1 - t / steps)
             t += 1
-            idx, wt = docs[i]
+            idx, wt = buckets[start[i]: start[i + 1]], weights[start[i]: start[i + 1]]
             if not len(idx):
                 continue
             h = wt @ emb[idx]
@@ -185,15 +189,29 @@ def fit(docs: DataFrame):
         "part", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id", "text"), F.lit(CALIBRATE)) == 0
     )
     small_batches(docs.sparkSession)
-    got = bags(sample).collect()
-    langs = sorted({r.lang for r in got})
+    got = bags(sample).toArrow()  # FIT_DOCS rows and FIT_NNZ buckets at most, as flat arrays
+    if not got.num_rows:
+        return None
+    lang = got.column("lang").to_pylist()
+    part = np.asarray(got.column("part").to_numpy(zero_copy_only=False), bool)
+    sizes = np.asarray(pa.compute.list_value_length(got.column("buckets")).to_numpy(zero_copy_only=False), np.int64)
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    buckets = np.asarray(pa.compute.list_flatten(got.column("buckets")).to_numpy(zero_copy_only=False), np.int64)
+    weights = np.asarray(pa.compute.list_flatten(got.column("weights")).to_numpy(zero_copy_only=False), np.float64)
+    langs = sorted(set(lang))
     code = {x: i for i, x in enumerate(langs)}
-    train = [r for r in got if not r.part] or got
-    apart = [r for r in got if r.part]
-    emb, w, b = sgd([(np.array(r.buckets, np.int64), np.array(r.weights, np.float64)) for r in train],
-                    np.array([code[r.lang] for r in train]), len(langs))
-    z = np.array([np.array(r.weights) @ emb[np.array(r.buckets, np.int64)] @ w + b for r in apart]).reshape(len(apart), len(langs))
-    temp, cut = calibrate(z, np.array([code[r.lang] for r in apart], dtype=np.int64))
+    y = np.array([code[x] for x in lang], np.int64)
+    train = np.nonzero(~part)[0] if (~part).any() else np.arange(len(part))
+    apart = np.nonzero(part)[0]
+
+    def rows_of(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pieces = [np.arange(start[i], start[i + 1]) for i in which]
+        at = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
+        return np.concatenate([[0], np.cumsum(sizes[which])]), buckets[at], weights[at]
+
+    emb, w, b = sgd(rows_of(train), y[train], len(langs))
+    z = np.array([weights[start[i]: start[i + 1]] @ emb[buckets[start[i]: start[i + 1]]] @ w + b for i in apart]).reshape(len(apart), len(langs))
+    temp, cut = calibrate(z, y[apart])
     return langs, emb, w, b, temp, cut
 
 
