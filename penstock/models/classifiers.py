@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penstock.functions.decisions import predicted
-from penstock.functions.draws import seeded_uniform
+from penstock.models import extra_trees
 from penstock.session import scratch_dir, scratch_path
 
 MAX_DEPTH = 30  # the deepest tree MLlib builds
@@ -123,76 +122,28 @@ class MarginScorer(Scorer):
         return self.model.transform(df).select(*df.columns, (1.0 / (1.0 + F.exp(-margin))).alias(out))
 
 
-Cuts = list[list[float]]  # per feature, the inner cut points in ascending order
-
-
 class ExtraTrees(Scorer):
-    """Mean of trees, each grown on its own random cut points.
-
-    MLlib has no extra-trees learner. Each tree sees features cut at `cuts` seeded random points of the training
-    range, so split positions are random as in extra-trees while the choice among them is by impurity. This is
-    an approximation of the published learner.
-    """
+    """Extra-trees grown level by level (`extra_trees.grow`), scored on Arrow batches."""
 
-    def __init__(self, trees: list[tuple[Cuts, object]]):
-        self.trees = trees
+    def __init__(self, forest: list[dict]):
+        self.forest = forest
 
     def score(self, df: DataFrame, out: str = "p") -> DataFrame:
-        scored, votes = df, []
-        for i, (cuts, tree) in enumerate(self.trees):
-            name = f"_p{i}"
-            scored = tree.transform(_cut(scored, cuts)).select(*scored.columns, attack_probability().alias(name))
-            votes.append(F.col(name))
-        return scored.select(*df.columns, (sum(votes[1:], votes[0]) / len(votes)).alias(out))
+        return extra_trees.score(df, self.forest, out)
 
     def save(self, path: str) -> None:
-        for i, (_, tree) in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree-{i}")
-        rows = [(i, cuts) for i, (cuts, _) in enumerate(self.trees)]
         spark = SparkSession.active()
-        spark.createDataFrame(rows, "tree int, cuts array<array<double>>").coalesce(1).write.mode("overwrite").parquet(f"{path}/cuts")
+        spark.createDataFrame(extra_trees.node_table(self.forest), extra_trees.NODES).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
 
     @property
     def nodes(self) -> int:
-        return sum(tree.numNodes for _, tree in self.trees)
-
-
-def _cut(df: DataFrame, cuts: Cuts) -> DataFrame:
-    """Add `_cut`: for each feature the number of cut points at or below it, in one expression."""
-    below = F.zip_with(vector_to_array("features"), F.lit(cuts), lambda x, c: F.size(F.filter(c, lambda v: v <= x)).cast("double"))
-    return df.withColumn("_cut", array_to_vector(below))
-
+        return sum(len(tree["feat"]) for tree in self.forest)
 
-FITS_AT_ONCE = 4
 
-
-def fit_extra_trees(train: DataFrame, spec: TreeSpec, weight: str | None, cuts: int = 32) -> ExtraTrees:
-    cells = train.select(F.posexplode(vector_to_array("features")).alias("i", "x"))
-    edges = {r["i"]: (r["a"], r["b"]) for r in cells.groupBy("i").agg(F.min("x").alias("a"), F.max("x").alias("b")).collect()}
-    width = len(edges)
-    draws = train.sparkSession.range(spec.trees * width * cuts)
-    draws = [r["u"] for r in draws.orderBy("id").select(seeded_uniform(f"{spec.seed}:cut", "id").alias("u")).collect()]
-    subset = max(1, int(width**0.5)) / width
-
-    def grow(t: int) -> tuple[Cuts, object]:
-        points = []
-        for i in range(width):
-            low, high = edges[i]
-            points.append(sorted({low + u * (high - low) for u in draws[(t * width + i) * cuts : (t * width + i + 1) * cuts]}))
-        # One unbagged tree that looks at a random subset of features in each node.
-        learner = RandomForestClassifier(
-            featuresCol="_cut", numTrees=1, bootstrap=False, featureSubsetStrategy=str(subset) if subset < 1 else "all",
-            maxDepth=min(spec.depth, MAX_DEPTH), minInstancesPerNode=spec.min_leaf, maxBins=cuts + 2, seed=spec.seed + t,
-        )
-        learner = learner.setWeightCol(weight) if weight else learner
-        return points, learner.fit(_cut(kept, points)).trees[0]
-
-    kept = train.select("features", "label", *([weight] if weight else [])).persist()
-    try:
-        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-            return ExtraTrees(list(pool.map(grow, range(spec.trees))))
-    finally:
-        kept.unpersist()
+def fit_extra_trees(train: DataFrame, spec: TreeSpec, weight: str | None) -> ExtraTrees:
+    """The published extra-trees: minimum split size twice the leaf size, as in the configurations."""
+    depth = min(spec.depth, MAX_DEPTH)
+    return ExtraTrees(extra_trees.grow(train, spec.trees, depth, spec.min_leaf, 2 * spec.min_leaf, spec.seed, weight))
 
 
 def load_scorer(spark: SparkSession, path: str) -> Scorer:
@@ -204,9 +155,8 @@ def load_scorer(spark: SparkSession, path: str) -> Scorer:
 
     try:
         model = load(path)
-    except AnalysisException:  # extra-trees keep one folder per tree
-        rows = spark.read.parquet(f"{path}/cuts").orderBy("tree").collect()
-        return ExtraTrees([([list(c) for c in r["cuts"]], load(f"{path}/tree-{r['tree']}")) for r in rows])
+    except AnalysisException:  # extra-trees keep a table of nodes
+        return ExtraTrees(extra_trees.from_node_table(spark.read.parquet(f"{path}/nodes").collect()))
     return MarginScorer(model) if isinstance(model, ml.LinearSVCModel) else Scorer(model)
 
 
@@ -227,7 +177,7 @@ def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None, valid
     train = compact(train)
     weight = weight if spec.weighted else None
     if spec.kind == "extra":
-        return fit_extra_trees(train, spec, weight, spec.bins)
+        return fit_extra_trees(train, spec, weight)
     if spec.kind == "boosted":
         learner = GBTClassifier(
             maxIter=spec.trees, maxDepth=min(spec.depth, MAX_DEPTH), stepSize=spec.step, seed=spec.seed,
