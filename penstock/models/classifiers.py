@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penstock.functions.decisions import predicted
-from penstock.models import extra_trees
+from penstock.models import extra_trees, kernels
 from penstock.session import scratch_dir, scratch_path
 
 MAX_DEPTH = 30  # the deepest tree MLlib builds
@@ -207,6 +207,24 @@ def fit_linear_svc(train: DataFrame, weight: str | None = None, max_iter: int =
     return MarginScorer((learner.setWeightCol(weight) if weight else learner).fit(train))
 
 
+def fit_rbf_svc(train: DataFrame, w: list[list[float]], b: list[float], weight: str | None = None, max_iter: int = 100) -> Scorer:
+    """RBF support vectors: a linear machine on random Fourier features of `features` (`kernels`)."""
+    return FourierScorer(fit_linear_svc(kernels.with_fourier_features(train, w, b), weight, max_iter).model, w, b)
+
+
+class FourierScorer(MarginScorer):
+    """Scores rows through the same Fourier map as the fit; the output keeps the rows' own `features`."""
+
+    def __init__(self, model, w, b):
+        super().__init__(model)
+        self.w, self.b = w, b
+
+    def score(self, df: DataFrame, out: str = "p") -> DataFrame:
+        mapped = df.withColumn("_own", F.col("features"))
+        scored = super().score(kernels.with_fourier_features(mapped, self.w, self.b), out)
+        return scored.withColumn("features", F.col("_own")).select(*df.columns, out)
+
+
 def fit_single_tree(train: DataFrame, depth: int = 5, weight: str | None = None) -> Scorer:
     learner = DecisionTreeClassifier(maxDepth=depth)
     return Scorer((learner.setWeightCol(weight) if weight else learner).fit(train))

@@ -7,11 +7,12 @@ import time
 from pyspark.sql import functions as F
 
 from penstock.models import classifiers as M
+from penstock.models import kernels as K
 from penstock.models.cascade import run_grid, score_cascade
 from penstock.operators import evaluate
 from penstock.operators.sampling import balanced_weights, positive_weight, stratified_split
 from penstock.operators.smote import balance
-from penstock.plans.inputs import MEASURES, rounded, table, vectors
+from penstock.plans.inputs import MEASURES, VECTORS, rounded, table, vectors
 from penstock.plans.registry import query
 from penstock.sources.staging import stage
 
@@ -126,6 +127,33 @@ def l12_linear_svc(spark, sf_dir):
     return _report(M.fit_linear_svc(positive_weight(train.drop("weight")), "weight").classify(test))
 
 
+@query("l12_rbf_svc")
+def l12_rbf_svc(spark, sf_dir):
+    """RBF support vectors through random Fourier features, gamma "scale", attack rows weighted by 20 (M8)."""
+    train, test = _sides(spark, sf_dir)
+    width = len(train.select("vec").first()["vec"])
+    w, b = K.draws(spark, width, K.scale_gamma(train))
+    return _report(M.fit_rbf_svc(positive_weight(train.drop("weight")), w, b, "weight").classify(test))
+
+
+_MAP_GAMMA = 0.5
+
+
+@query(
+    "l12_fourier_map",
+    f"""WITH {VECTORS}, {K.map_sql("v", _MAP_GAMMA, 64)}
+    SELECT id, round(sum(z), 6) AS z_sum, round(max(z) FILTER (WHERE j = 0), 6) AS z_first,
+           round(max(z) FILTER (WHERE j = {K.FEATURES - 1}), 6) AS z_last FROM fz GROUP BY id""",
+)
+def l12_fourier_map(spark, sf_dir):
+    """The Fourier map of every vector, summed, first and last value."""
+    v = vectors(spark, sf_dir)
+    w, b = K.draws(spark, 64, _MAP_GAMMA)
+    z = v.select("id", K.mapped(F.col("vec"), w, b).alias("z"))
+    return rounded(z.select("id", F.aggregate("z", F.lit(0.0), lambda a, x: a + x).alias("z_sum"), F.col("z")[0].alias("z_first"),
+                            F.element_at("z", -1).alias("z_last")), "z_sum", "z_first", "z_last")
+
+
 # ---------------------------------------------------------------- models with closed forms
 # On 0/1 features an unbagged forest that may grow gives the class rate of each group of equal features, boosting runs a short
 # recursion per group, and an unregularised logistic regression on one feature gives the rate as well.
