@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penstock.functions.draws import seeded_hash, seeded_uniform
-from penstock.operators.joins import salted_join, small_side
+from penstock.operators.joins import join_null_safe, salted_join, small_side
 from penstock.operators.ordering import running_totals, with_row_id
 from penstock.sources.staging import stage
 
@@ -44,7 +44,7 @@ def mark_sample(
     df: DataFrame, strata: Sequence[str], key: Sequence[str], quotas_of: Callable[[DataFrame], DataFrame], seed: int = 42,
     flag: str = "taken",
 ) -> DataFrame:
-    """Flag `quota` rows of each stratum, those with the smallest (hash, key).
+    """Flag `quota` rows of each stratum, those with the smallest (hash, key). A null stratum value is a stratum of its own.
 
     `quotas_of` turns `(strata…, n)` into `(strata…, quota)`. A count per (stratum, hash bucket) finds the bucket in
     which the quota falls; only the rows of that bucket, about one in 65,536, are ranked to find the last row taken.
@@ -56,15 +56,15 @@ def mark_sample(
     sizes = stage(hashed.groupBy(*strata, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")), "buckets")
     quotas = quotas_of(sizes.groupBy(*strata).agg(F.sum("_n").alias("n"))).select(*strata, "quota")
     running = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    reached = sizes.withColumn("_upto", F.sum("_n").over(running)).join(quotas, list(strata))
+    reached = join_null_safe(sizes.withColumn("_upto", F.sum("_n").over(running)), quotas, list(strata))
     cuts = reached.filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
     cuts = cuts.select(*strata, "_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_need"))
-    at_cut = hashed.withColumn("_bucket", bucket).join(small_side(cuts), [*strata, "_bucket"])
+    at_cut = join_null_safe(hashed.withColumn("_bucket", bucket), small_side(cuts), [*strata, "_bucket"])
     first = Window.partitionBy(*strata).orderBy("_h", *key)
     last = at_cut.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") == F.col("_need"))
     last = small_side(last.select(*strata, F.struct("_h", *key).alias("_last")))
     taken = F.coalesce(F.struct("_h", *key) <= F.col("_last"), F.lit(False))
-    return hashed.join(last, list(strata), "left").select(*[F.col(c) for c in df.columns], taken.alias(flag))
+    return join_null_safe(hashed, last, list(strata), "left").select(*[F.col(c) for c in df.columns], taken.alias(flag))
 
 
 def stratified_sample(
@@ -109,7 +109,7 @@ def draw_rows(ranked: DataFrame, draws: DataFrame, label: str, counts: DataFrame
     salts = small_side(counts.select(F.col(label).alias("_class"), copies.alias("_salts")))
 
     def salted(rows: DataFrame) -> DataFrame:
-        return rows.join(salts, F.col(label) == F.col("_class")).drop("_class")
+        return rows.join(salts, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
 
     return salted_join(salted(draws), salted(ranked), [label, "_rank"], "_salts", "draw")
 
@@ -158,7 +158,7 @@ def balanced_weights(df: DataFrame, label: str = "label", weight: str = "weight"
     counts = stage(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), "class-counts")
     total, classes = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     known = counts.select(F.col(label).alias("_class"), (F.lit(float(total or 0)) / (F.lit(classes) * F.col("n"))).alias("_w"))
-    joined = df.join(small_side(known), df[label] == F.col("_class"), "left")
+    joined = df.join(small_side(known), df[label].eqNullSafe(F.col("_class")), "left")
     return joined.select(*df.columns, F.col("_w").alias(weight)) if weight not in df.columns else joined.drop(weight).withColumnRenamed("_w", weight).drop("_class")
 
 
