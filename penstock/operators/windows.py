@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penstock.functions.timecols import floor_div
 from penstock.operators.ordering import in_blocks, with_row_id
 
 
@@ -116,31 +115,53 @@ SPECTRUM_WINDOW, OUTLIER_SCORE = 3, 3.0
 
 def clean_outliers(
     long: DataFrame, row_id: str = "row_id", block_rows: int = 4096,
-    spectrum_window: int = SPECTRUM_WINDOW, threshold: float = OUTLIER_SCORE,
+    spectrum_window: int = SPECTRUM_WINDOW, threshold: float = OUTLIER_SCORE, overlap: int | None = None,
 ) -> DataFrame:
-    """Spectral-residual cleaning of `(sensor, row_id, value)`: outliers are replaced by the block's mode.
-
-    The saliency map is taken per sensor and bounded block; a point is an outlier when its saliency exceeds
-    the block mean by more than `threshold` times the mean.
+    """Spectral-residual cleaning of `(sensor, row_id, value)`: outliers are replaced by the mode of their block.
+
+    Blocks are numbered inside each sensor from its first row (`row_id` dense within a sensor, as `with_row_id` ordered by
+    sensor gives): blocks of `block_rows` rows, the last one also taking the remainder, so no block is a fragment and other
+    sensors never change a sensor's blocks. Each block is read with `overlap` rows of context on both sides (overlap-save)
+    and reports its own rows only. Gaps (null or NaN values) are interpolated linearly before the transform, are never
+    outliers and stay as they are. A point is an outlier when its saliency exceeds the window mean by more than `threshold`
+    times the mean; the mode is that of the window's values (the smallest of ties).
     """
+    overlap = block_rows // 4 if overlap is None else overlap
+    spans = long.groupBy("sensor").agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    pos = F.col(row_id) - F.col("_first")
+    last = F.greatest(F.floor(F.col("_n") / block_rows) - 1, F.lit(0)).cast("long")
+    core = F.least(F.floor(pos / block_rows).cast("long"), last)
+    end = F.when(core == last, F.col("_n")).otherwise((core + 1) * block_rows)
+    homes = F.array(
+        F.struct(core.alias("_block"), F.lit(True).alias("_core")),
+        F.when((core > 0) & (pos - core * block_rows < overlap), F.struct((core - 1).alias("_block"), F.lit(False).alias("_core"))),
+        F.when((core < last) & (end - pos <= overlap), F.struct((core + 1).alias("_block"), F.lit(False).alias("_core"))),
+    )
+    placed = long.join(spans, "sensor").select(
+        "sensor", row_id, "value", F.explode(F.filter(homes, lambda h: h.isNotNull())).alias("_home")
+    ).select("sensor", row_id, "value", "_home._block", "_home._core")
 
     def clean(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row_id)
         x = pdf["value"].to_numpy(dtype=float)
-        spectrum = np.fft.fft(np.nan_to_num(x))
+        gap = ~np.isfinite(x)
+        filled = x.copy()
+        if gap.all():
+            filled[:] = 0.0
+        elif gap.any():
+            at = np.arange(len(x))
+            filled[gap] = np.interp(at[gap], at[~gap], x[~gap])
+        spectrum = np.fft.fft(filled)
         log_amplitude = np.log(np.abs(spectrum) + 1e-12)
         kernel = np.ones(spectrum_window) / spectrum_window
         padded = np.pad(log_amplitude, (spectrum_window // 2, spectrum_window - 1 - spectrum_window // 2), mode="edge")
         residual = log_amplitude - np.convolve(padded, kernel, mode="valid")
         saliency = np.abs(np.fft.ifft(np.exp(residual + 1j * np.angle(spectrum))))
         mean = saliency.mean()
-        outlier = (saliency - mean) > threshold * mean
-        mode = pdf["value"].mode()
+        outlier = ((saliency - mean) > threshold * mean) & ~gap
+        mode = pd.Series(x[~gap]).mode()
         cleaned = np.where(outlier & (len(mode) > 0), mode.iloc[0] if len(mode) else np.nan, x)
-        return pdf.assign(cleaned=cleaned, outlier=outlier.astype("int32"))[["sensor", row_id, "value", "cleaned", "outlier"]]
+        out = pdf.assign(cleaned=cleaned, outlier=outlier.astype("int32"))
+        return out[out["_core"]][["sensor", row_id, "value", "cleaned", "outlier"]]
 
-    return (
-        long.withColumn("_block", floor_div(row_id, block_rows))
-        .groupBy("sensor", "_block")
-        .applyInPandas(clean, f"sensor string, {row_id} long, value double, cleaned double, outlier int")
-    )
+    return placed.groupBy("sensor", "_block").applyInPandas(clean, f"sensor string, {row_id} long, value double, cleaned double, outlier int")

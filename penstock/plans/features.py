@@ -127,7 +127,7 @@ def w6_process_features(spark, sf_dir):
 
 @query("w7_spectral_cleaning")
 def w7_spectral_cleaning(spark, sf_dir):
-    """Spectral-residual outliers per sensor and bounded block, replaced by the mode."""
+    """Spectral-residual outliers per sensor, in overlapping blocks numbered inside the sensor, replaced by the mode."""
     e = readings(spark, sf_dir).select(F.col("event_type").alias("sensor"), "sec", "event_id", "value")
     ordered = with_row_id(e, ["sensor", "sec", "event_id"])
     cleaned = windows.clean_outliers(ordered.select("sensor", "row_id", "value"))
