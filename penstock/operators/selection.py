@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -173,6 +177,74 @@ def pca(df: DataFrame, vector: str, k: int = PCA_COMPONENTS):
     return model, df.sparkSession.createDataFrame(rows, "component int, explained double")
 
 
+def gram(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """`(n, column sums, X^T X)` of an array column in one pass: each Arrow batch adds its own product, one aggregate sums them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = batch.column(vector)
+            x = np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
+            cells = np.concatenate([[batch.num_rows], x.sum(0), (x.T @ x).ravel()])
+            yield pa.record_batch({"i": pa.array(np.arange(len(cells)), pa.int32()), "v": pa.array(cells, pa.float64())})
+
+    sums = df.select(vector).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # 1 + p + p^2 cells
+    if not sums:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    cells = np.zeros(max(r["i"] for r in sums) + 1)
+    for r in sums:
+        cells[r["i"]] = r["v"]
+    p = int(round((-1 + math.sqrt(1 + 4 * (len(cells) - 1))) / 2))
+    return int(cells[0]), cells[1: 1 + p], cells[1 + p:].reshape(p, p)
+
+
+def jacobi(a: np.ndarray, tol: float = 1e-12, sweeps: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues (descending) and eigenvectors (columns) of a symmetric matrix by cyclic Jacobi rotations."""
+    a = np.array(a, dtype=np.float64)
+    p = len(a)
+    v = np.eye(p)
+    scale = max(1e-300, np.abs(a).max() if p else 1.0)
+    for _ in range(sweeps):
+        off = np.sqrt((np.triu(a, 1) ** 2).sum())
+        if off <= tol * scale:
+            break
+        for i in range(p - 1):
+            for j in range(i + 1, p):
+                if abs(a[i, j]) <= tol * scale * 1e-3:
+                    continue
+                theta = (a[j, j] - a[i, i]) / (2 * a[i, j])
+                t = (1.0 if theta >= 0 else -1.0) / (abs(theta) + math.sqrt(theta * theta + 1))
+                c = 1 / math.sqrt(t * t + 1)
+                s = t * c
+                ci, cj = a[:, i].copy(), a[:, j].copy()
+                a[:, i], a[:, j] = c * ci - s * cj, s * ci + c * cj
+                ri, rj = a[i, :].copy(), a[j, :].copy()
+                a[i, :], a[j, :] = c * ri - s * rj, s * ri + c * rj
+                vi, vj = v[:, i].copy(), v[:, j].copy()
+                v[:, i], v[:, j] = c * vi - s * vj, s * vi + c * vj
+    values = np.diag(a)
+    order = np.argsort(-values, kind="stable")
+    return values[order], v[:, order]
+
+
+def pca_jacobi(df: DataFrame, vector: str, k: int = PCA_COMPONENTS) -> tuple[np.ndarray, DataFrame]:
+    """Principal axes (p x k) and `(component, explained)`, the share of the total variance, from the sample covariance.
+
+    The covariance comes from one aggregate of per-batch Gram matrices, so its cost grows with the rows only; the p x p
+    eigenproblem is solved by Jacobi rotations on the driver. Fewer than two rows: no components."""
+    n, total, g = gram(df, vector)
+    spark = df.sparkSession
+    if n < 2:
+        return np.zeros((len(total), 0)), spark.createDataFrame([], "component int, explained double")
+    mean = total / n
+    cov = (g - n * np.outer(mean, mean)) / (n - 1)
+    values, axes = jacobi(cov)
+    trace = values.sum()
+    rows = [(i + 1, float(values[i] / trace) if trace > 0 else 0.0) for i in range(min(k, len(values)))]
+    return axes[:, :k], spark.createDataFrame(rows, "component int, explained double")
+
+
 # Instrument codes by priority.
 HIGH_PRIORITY, MEDIUM_PRIORITY, LOW_PRIORITY = ("FIT", "LT", "PIT"), ("AIT",), ("STATUS",)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from penstock.functions.draws import uniform_sql
-from penstock.models.classifiers import from_array
 from penstock.operators import selection, splits, windows
 from penstock.operators.columns import to_long
 from penstock.operators.episodes import with_episode
@@ -286,9 +285,20 @@ def fs4_relieff(spark, sf_dir):
 
 @query("fs5_pca_variance")
 def fs5_pca_variance(spark, sf_dir):
-    """Explained variance of eight components."""
-    df = from_array(vectors(spark, sf_dir), "vec")
-    return rounded(selection.pca(df, "features")[1], "explained")
+    """Explained variance of eight components: Gram matrix by one aggregate, Jacobi rotations."""
+    return rounded(selection.pca_jacobi(vectors(spark, sf_dir), "vec")[1], "explained")
+
+
+@query(
+    "fs5_pca_two_measures",
+    """WITH c AS (SELECT var_samp(embedding[1]) AS a, var_samp(embedding[2]) AS d, covar_samp(embedding[1], embedding[2]) AS b FROM embeddings),
+    e AS (SELECT (a + d) / 2 AS m, sqrt(((a - d) / 2) ^ 2 + b ^ 2) AS r, a + d AS t FROM c)
+    SELECT 1 AS component, round((m + r) / t, 6) AS explained FROM e UNION ALL SELECT 2, round((m - r) / t, 6) FROM e""",
+)
+def fs5_pca_two_measures(spark, sf_dir):
+    """Explained variance of the first two vector components, whose eigenvalues have a closed form."""
+    two = vectors(spark, sf_dir).select(F.slice("vec", 1, 2).alias("vec"))
+    return rounded(selection.pca_jacobi(two, "vec", 2)[1], "explained")
 
 
 @query(
