@@ -13,6 +13,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penstock.functions.draws import seeded_hash
 from penstock.operators.columns import to_long
 from penstock.operators.neighbors import knn_join
 from penstock.operators.ordering import running_totals
@@ -132,18 +133,33 @@ def moment_scores(df: DataFrame, cols: Sequence[str], label: str = "label") -> D
     return corr.join(f_values, "feature")
 
 
-def relieff(df: DataFrame, cols: Sequence[str], k: int = 10) -> DataFrame:
+# Fixed value: anchors of the anchored ReliefF, a documented bound of the rows that ask for neighbours (all rows answer).
+RELIEFF_ANCHORS = 1000
+
+
+def relieff(df: DataFrame, cols: Sequence[str], k: int = 10, anchors: int | None = None) -> DataFrame:
     """`(feature, relieff)` of a table `(id, vec, label)` with a 0/1 label, `vec` in the order of `cols`.
 
-    Every row looks for its k nearest rows of its own class (hits) and of the other class (misses); the weight
-    of a feature is its mean distance to misses less that to hits.
+    Every row (or, with `anchors`, the `anchors` rows of smallest seeded hash of the id) looks for its k nearest rows of its own
+    class (hits) and of the other class (misses) among all rows; the weight of a feature is its mean distance to misses less
+    that to hits. With anchors the cost grows with the rows once, not with the rows squared.
     """
     base = df.select("id", F.col("vec").cast("array<double>").alias("vec"), "label")
+    asking = base
+    if anchors is not None:
+        asking = base.orderBy(seeded_hash("relieff", "id"), "id").limit(anchors)
     sides = {v: base.filter(F.col("label") == v).select("id", "vec") for v in (0, 1)}
     pairs = None
     for v in (0, 1):
-        hits = knn_join(sides[v], sides[v], k, same_table=True).select("id", "neighbor", F.lit(-1.0).alias("sign"))
-        misses = knn_join(sides[v], sides[1 - v], k).select("id", "neighbor", F.lit(1.0).alias("sign"))
+        mine = asking.filter(F.col("label") == v).select("id", "vec")
+        if anchors is None:
+            hits = knn_join(mine, sides[v], k, same_table=True)
+        else:
+            first = Window.partitionBy("id").orderBy("distance", "neighbor")
+            found = knn_join(mine, sides[v], k + 1).filter(F.col("neighbor") != F.col("id"))
+            hits = found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+        hits = hits.select("id", "neighbor", F.lit(-1.0).alias("sign"))
+        misses = knn_join(mine, sides[1 - v], k).select("id", "neighbor", F.lit(1.0).alias("sign"))
         both = hits.unionByName(misses)
         pairs = both if pairs is None else pairs.unionByName(both)
     # The mean over the pairs found, so a class with fewer than k rows does not weigh less.

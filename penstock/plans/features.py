@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from penstock.functions.draws import uniform_sql
+from penstock.functions.draws import hash_sql, uniform_sql
 from penstock.operators import selection, splits, windows
 from penstock.operators.columns import to_long
 from penstock.operators.episodes import with_episode
@@ -283,6 +283,18 @@ def fs4_relieff(spark, sf_dir):
     return rounded(selection.relieff(vectors(spark, sf_dir), _FEATURES, k=5), "relieff", digits=8)
 
 
+@query(
+    "fs4_relieff_anchored",
+    f"""WITH {VECTORS}, an AS (SELECT id FROM v ORDER BY {hash_sql("relieff", "id::VARCHAR")}, id LIMIT {selection.RELIEFF_ANCHORS}),
+    {_RELIEFF.replace("FROM v a JOIN v b ON a.id <> b.id", "FROM v a JOIN v b ON a.id <> b.id WHERE a.id IN (SELECT id FROM an)")}
+    SELECT feature, round(relieff, 8) AS relieff FROM rf""",
+)
+def fs4_relieff_anchored(spark, sf_dir):
+    """ReliefF weights from the nearest hits and misses, among all rows, of a bounded set of seeded anchors."""
+    weights = selection.relieff(vectors(spark, sf_dir), _FEATURES, k=5, anchors=selection.RELIEFF_ANCHORS)
+    return rounded(weights, "relieff", digits=8)
+
+
 @query("fs5_pca_variance")
 def fs5_pca_variance(spark, sf_dir):
     """Explained variance of eight components: Gram matrix by one aggregate, Jacobi rotations."""
