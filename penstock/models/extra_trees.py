@@ -10,8 +10,8 @@ Each depth costs two passes (`mapInArrow`, then an aggregate by tree and node),
 1. ranges: the least and largest value of every feature, the weights of both classes and the rows of every open node;
 2. splits: the weights and rows on both sides of every drawn cut of every open node, as sums over (tree, node, cut, side).
 Rows find their node by walking the trees grown so far (numpy, on the executors); only the small per-node sums reach the
-driver, which draws the cuts and picks the splits. Draws come from generators seeded by (seed, tree, node), so a run gives
-the same forest every time. Scoring walks all trees on Arrow batches.
+driver: the executors draw each open node's features and cuts and pick its best cut, so k numbers a node and one row a split
+node are collected. Draws come from generators seeded by (seed, tree, node), so a run gives the same forest every time. Scoring walks all trees on Arrow batches.
 
 Rows need finite features; a null or non-finite feature is refused by `assemble`.
 """
@@ -74,7 +74,7 @@ def _features(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, width)
 
 
-def _ranges(rows: DataFrame, trees: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+def _ranges(rows: DataFrame, trees: list[dict[str, np.ndarray]]) -> DataFrame:
     """Per open node: least and largest value of every feature, class weights and rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +110,35 @@ def _ranges(rows: DataFrame, trees: list[dict[str, np.ndarray]]) -> pd.DataFrame
         "tree", "node", F.aggregate(F.slice("los", 2, 1 << 30), F.col("los")[0], both(F.least)).alias("lo"),
         F.aggregate(F.slice("his", 2, 1 << 30), F.col("his")[0], both(F.greatest)).alias("hi"), "w0", "w1", "n",
     )
-    return merged.toPandas()
+    return merged
+
+
+def _plans(ranges: DataFrame, k: int, seed: int, split_here: bool, least: int) -> pd.DataFrame:
+    """Per open node: its value, and the drawn features and cuts (none for a leaf); drawn on the executors, k numbers a node reach the driver."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            feats, cuts = [], []
+            for r in f.itertuples(index=False):
+                lo, hi = np.asarray(r.lo), np.asarray(r.hi)
+                free = np.nonzero(lo < hi)[0]
+                if not split_here or r.n < least or r.w0 <= 0 or r.w1 <= 0 or not len(free):
+                    feats.append([])
+                    cuts.append([])
+                    continue
+                draw = np.random.default_rng([seed, int(r.tree), int(r.node)])
+                picked = draw.choice(free, min(k, len(free)), replace=False)
+                feats.append(picked.tolist())
+                cuts.append((lo[picked] + draw.uniform(size=len(picked)) * (hi[picked] - lo[picked])).tolist())
+            total = f["w0"] + f["w1"]
+            yield pd.DataFrame({"tree": f["tree"], "node": f["node"], "value": np.where(total > 0, f["w1"] / total.where(total > 0, 1), 0.5),
+                                "feats": feats, "cuts": cuts})
+
+    return ranges.mapInPandas(run, "tree int, node long, value double, feats array<int>, cuts array<double>").toPandas()
 
 
-def _splits(rows: DataFrame, trees: list[dict[str, np.ndarray]], plans: list[tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
-    """Per open node, drawn cut and side: class weights and rows."""
+def _splits(rows: DataFrame, trees: list[dict[str, np.ndarray]], plans: list[tuple[np.ndarray, np.ndarray]], k: int, min_leaf: int) -> pd.DataFrame:
+    """Per open node with drawn cuts: the cut of largest weighted Gini decrease that leaves `min_leaf` rows on both sides (ties: the
+    first drawn), with the class weights of both sides. Sums by (tree, node, cut, side) and the choice run as aggregates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, w = _features(batch), batch.column("label").to_numpy(zero_copy_only=False), batch.column("_w").to_numpy(zero_copy_only=False)
@@ -146,13 +170,19 @@ def _splits(rows: DataFrame, trees: list[dict[str, np.ndarray]], plans: list[tup
                 })
 
     parts = rows.mapInArrow(run, "tree int, node long, k int, side int, w0 double, w1 double, n long")
-    return parts.groupBy("tree", "node", "k", "side").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"), F.sum("n").alias("n")).toPandas()
+    side = lambda c, v: F.sum(F.when(F.col("side") == v, F.col(c)).otherwise(F.lit(0)))
+    sums = parts.groupBy("tree", "node", "k").agg(
+        side("w0", 0).alias("l0"), side("w1", 0).alias("l1"), side("n", 0).alias("ln"),
+        side("w0", 1).alias("r0"), side("w1", 1).alias("r1"), side("n", 1).alias("rn"),
+    ).filter((F.col("ln") >= min_leaf) & (F.col("rn") >= min_leaf))
+    gain = _gini_column(F.col("l0") + F.col("r0"), F.col("l1") + F.col("r1")) - _gini_column(F.col("l0"), F.col("l1")) - _gini_column(F.col("r0"), F.col("r1"))
+    best = sums.groupBy("tree", "node").agg(F.max(F.struct(gain.alias("gain"), (-F.col("k")).alias("nk"), "l0", "l1", "r0", "r1")).alias("b"))
+    return best.select("tree", "node", (-F.col("b.nk")).alias("k"), "b.l0", "b.l1", "b.r0", "b.r1").toPandas()  # one row per split node
 
 
-def _gini(w0, w1):
+def _gini_column(w0, w1):
     s = w0 + w1
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(s > 0, s * (1 - (w0 / s) ** 2 - (w1 / s) ** 2), 0.0)
+    return F.when(s > 0, s * (1 - (w0 / s) * (w0 / s) - (w1 / s) * (w1 / s))).otherwise(F.lit(0.0))
 
 
 def grow(train: DataFrame, trees: int, depth: int, min_leaf: int = 1, min_split: int = 2, seed: int = 42, weight: str | None = None) -> list[dict[str, np.ndarray]]:
@@ -166,39 +196,25 @@ def grow(train: DataFrame, trees: int, depth: int, min_leaf: int = 1, min_split:
         arrays = [t.arrays() for t in forest]
         if not any((a["feat"] == OPEN).any() for a in arrays):
             break
-        ranges = _ranges(rows, arrays)
+        planned = _plans(_ranges(rows, arrays), k, seed, level < depth, max(min_split, 2 * min_leaf))
         plans = [(np.full((len(t.feat), k), -1, np.int64), np.zeros((len(t.feat), k))) for t in forest]
-        for r in ranges.itertuples(index=False):
-            tree, u = forest[r.tree], int(r.node)
-            tree.value[u] = r.w1 / (r.w0 + r.w1) if r.w0 + r.w1 > 0 else 0.5
-            lo, hi = np.asarray(r.lo), np.asarray(r.hi)
-            free = np.nonzero(lo < hi)[0]
-            if level >= depth or r.n < max(min_split, 2 * min_leaf) or r.w0 <= 0 or r.w1 <= 0 or not len(free):
-                continue
-            draw = np.random.default_rng([seed, r.tree, u])
-            picked = draw.choice(free, min(k, len(free)), replace=False)
-            plans[r.tree][0][u, : len(picked)] = picked
-            plans[r.tree][1][u, : len(picked)] = lo[picked] + draw.uniform(size=len(picked)) * (hi[picked] - lo[picked])
-        splits = _splits(rows, arrays, plans, k) if any((p[0][:, 0] >= 0).any() for p in plans) else pd.DataFrame()
+        for r in planned.itertuples(index=False):
+            u = int(r.node)
+            forest[r.tree].value[u] = float(r.value)
+            if len(r.feats):
+                plans[r.tree][0][u, : len(r.feats)] = r.feats
+                plans[r.tree][1][u, : len(r.cuts)] = r.cuts
         chosen: dict[tuple[int, int], tuple] = {}
-        if len(splits):
-            wide = splits.pivot_table(index=["tree", "node", "k"], columns="side", values=["w0", "w1", "n"], fill_value=0, aggfunc="sum")
-            for (t, u, j), r in wide.iterrows():
-                l0, l1, ln = r.get(("w0", 0), 0.0), r.get(("w1", 0), 0.0), r.get(("n", 0), 0)
-                r0, r1, rn = r.get(("w0", 1), 0.0), r.get(("w1", 1), 0.0), r.get(("n", 1), 0)
-                if ln < min_leaf or rn < min_leaf:
-                    continue
-                gain = float(_gini(l0 + r0, l1 + r1) - _gini(l0, l1) - _gini(r0, r1))
-                best = chosen.get((t, u))
-                if best is None or gain > best[0] + 1e-12:
-                    chosen[(t, u)] = (gain, j, (l0, l1), (r0, r1))
+        if any((p[0][:, 0] >= 0).any() for p in plans):
+            for r in _splits(rows, arrays, plans, k, min_leaf).itertuples(index=False):
+                chosen[(int(r.tree), int(r.node))] = (int(r.k), (r.l0, r.l1), (r.r0, r.r1))
         for t, tree in enumerate(forest):
             for u in np.nonzero(np.array(tree.feat) == OPEN)[0]:
                 u = int(u)
                 if (t, u) not in chosen:
                     tree.feat[u] = LEAF
                     continue
-                _, j, (l0, l1), (r0, r1) = chosen[(t, u)]
+                j, (l0, l1), (r0, r1) = chosen[(t, u)]
                 tree.feat[u], tree.cut[u] = int(plans[t][0][u, j]), float(plans[t][1][u, j])
                 tree.left[u] = tree.add(l1 / (l0 + l1) if l0 + l1 > 0 else 0.5, tree.depth[u] + 1)
                 tree.right[u] = tree.add(r1 / (r0 + r1) if r0 + r1 > 0 else 0.5, tree.depth[u] + 1)
