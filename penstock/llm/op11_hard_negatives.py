@@ -41,7 +41,7 @@ from penstock.llm.common import small_batches, table
 from penstock.sources.staging import stage
 
 BRANCH, LEAF_FIT, MAX_DEPTH, FIT_ROWS = 8, 24, 8, 8192
-SEED_ROWS, CHUNK_ROWS, QUERY_BLOCK = 512, 4096, 512
+SEED_ROWS, CHUNK_ROWS, QUERY_BLOCK, QUERY_TASK = 512, 4096, 512, 256
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
 INF = float("inf")
 
@@ -266,7 +266,9 @@ def search(tree: Tree, rows: DataFrame, queries: DataFrame, k: int, seed: bool)
                                   [*out.schema.names, "leaf"])
 
     small_batches(spark)
-    visits = stage(queries.select(*[c.split(" ")[0] for c in QUERY.split(", ")]).mapInArrow(visit, QUERY + ", leaf int"), "hn-visits")
+    asked = queries.select(*[c.split(" ")[0] for c in QUERY.split(", ")])
+    asked = asked.repartition(max(1, -(-asked.count() // QUERY_TASK)), "qid")  # bounds per query cost a pass over the tree: spread them
+    visits = stage(asked.mapInArrow(visit, QUERY + ", leaf int"), "hn-visits")
     per_leaf = {r["leaf"]: r["n"] for r in visits.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.createDataFrame(
         [(int(u), max(1, math.ceil(int(tree.rows[u]) / CHUNK_ROWS)), max(1, math.ceil(per_leaf[u] / QUERY_BLOCK))) for u in per_leaf],
