@@ -15,11 +15,13 @@ MINORITY_RATIO = 0.5
 NEIGHBORS = 5
 
 
-def synthetic_rows(df: DataFrame, ratio: float = MINORITY_RATIO, k: int = NEIGHBORS, seed: int = 42) -> DataFrame:
+def synthetic_rows(df: DataFrame, ratio: float = MINORITY_RATIO, k: int = NEIGHBORS, seed: int = 42, strict: bool = False) -> DataFrame:
     """New minority points `x + u * (neighbour - x)` of a table `(id, vec, label)`, label 1 = minority.
 
-    Returns `(draw, base, neighbor, u, vec)` with `floor(ratio * majority) - minority` rows. Draw j picks the
-    base by its rank among the minority, the neighbour by its rank, and u, each from a seeded hash of j.
+    Returns `(draw, base, neighbor, u, vec, near)` with `floor(ratio * majority) - minority` rows. Draw j picks the
+    base by its rank among the minority, the neighbour by its rank, and u, each from a seeded hash of j. With fewer
+    than `k + 1` minority rows a base has only `n - 1` neighbours: `near` reports the number drawn from, and
+    `strict=True` refuses instead. Fewer than two minority rows are always refused.
     """
     minority = stage(df.filter(F.col("label") == 1).select("id", F.col("vec").cast("array<double>").alias("vec"), "label"), "minority")
     ranked, counts = rank_in_class(minority, "label", ["id"])
@@ -29,6 +31,8 @@ def synthetic_rows(df: DataFrame, ratio: float = MINORITY_RATIO, k: int = NEIGHB
     near = min(k, n_minority - 1)
     if near < 1:
         raise ValueError("at least two minority rows are needed")
+    if strict and near < k:
+        raise ValueError(f"{n_minority} minority rows give {near} neighbours, {k} asked")
     draws = df.sparkSession.range(wanted).select(
         F.col("id").alias("draw"),
         F.lit(1).cast(minority.schema["label"].dataType).alias("label"),
@@ -47,7 +51,7 @@ def synthetic_rows(df: DataFrame, ratio: float = MINORITY_RATIO, k: int = NEIGHB
     picked = hit.withColumn("_n", F.element_at("around", F.col("rank")))
     return picked.select(
         "draw", "base", F.col("_n.neighbor").alias("neighbor"), "u",
-        F.zip_with("vec", F.col("_n.n_vec"), lambda x, y: x + F.col("u") * (y - x)).alias("vec"),
+        F.zip_with("vec", F.col("_n.n_vec"), lambda x, y: x + F.col("u") * (y - x)).alias("vec"), F.lit(near).alias("near"),
     )
 
 

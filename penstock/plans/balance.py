@@ -117,12 +117,12 @@ def m6_nearest_neighbors(spark, sf_dir):
     ranked AS (SELECT id, vec, row_number() OVER (ORDER BY id) - 1 AS k FROM m),
     size AS (SELECT (SELECT count(*) FROM m) AS n, floor(0.5 * (SELECT count(*) FROM v WHERE label = 0))::BIGINT - (SELECT count(*) FROM m) AS wanted),
     draws AS (SELECT draw, floor({uniform_sql("42:base", "draw::VARCHAR")} * n)::BIGINT AS k,
-                     floor({uniform_sql("42:neighbor", "draw::VARCHAR")} * 5)::BIGINT + 1 AS rank,
+                     floor({uniform_sql("42:neighbor", "draw::VARCHAR")} * least(5, n - 1))::BIGINT + 1 AS rank, least(5, n - 1) AS near,
                      {uniform_sql("42:gap", "draw::VARCHAR")} AS u
               FROM (SELECT n, unnest(range(wanted)) AS draw FROM size)),
-    hit AS (SELECT draw, b.id AS base, nn.neighbor, u, b.vec AS x, o.vec AS y FROM draws
+    hit AS (SELECT draw, b.id AS base, nn.neighbor, u, near, b.vec AS x, o.vec AS y FROM draws
             JOIN ranked b ON b.k = draws.k JOIN nn ON nn.id = b.id AND nn.rank = draws.rank JOIN m o ON o.id = nn.neighbor)
-    SELECT draw, base, neighbor, round(u, 6) AS u, round(x[1] + u * (y[1] - x[1]), 6) AS x_first,
+    SELECT draw, base, neighbor, near, round(u, 6) AS u, round(x[1] + u * (y[1] - x[1]), 6) AS x_first,
            round(x[64] + u * (y[64] - x[64]), 6) AS x_last,
            round(list_sum([a + u * (y[i] - a) for a, i in x]), 6) AS x_sum FROM hit""",
 )
@@ -131,7 +131,8 @@ def m1_smote(spark, sf_dir):
     new = synthetic_rows(vectors(spark, sf_dir))
     total = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x)
     out = new.select(
-        "draw", "base", "neighbor", "u", F.col("vec")[0].alias("x_first"), F.col("vec")[63].alias("x_last"), total.alias("x_sum")
+        "draw", "base", "neighbor", F.col("near").cast("long").alias("near"), "u", F.col("vec")[0].alias("x_first"), F.col("vec")[63].alias("x_last"),
+        total.alias("x_sum")
     )
     return rounded(out, "u", "x_first", "x_last", "x_sum")
 

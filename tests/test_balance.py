@@ -129,3 +129,15 @@ def test_two_clusters_are_balanced(spread):
         np.testing.assert_allclose(np.asarray(r.vec), a + r.u * (b - a))
     counts = {(r["label"], r["synthetic"]): r["count"] for r in balance(df, k=3).groupBy("label", "synthetic").count().collect()}
     assert counts == {(0, False): 30, (1, False): 6, (1, True): 9}
+
+
+def test_few_minority_rows_report_their_neighbours(spread):
+    rows = [(i, [float(i)], 1) for i in range(3)] + [(100 + i, [50.0 + i], 0) for i in range(20)]
+    df = spread.createDataFrame(rows, "id long, vec array<double>, label int")
+    new = synthetic_rows(df, k=5).toPandas()
+    assert len(new) == 10 - 3 and set(new["near"]) == {2}
+    assert all(r.neighbor != r.base and 0 <= r.neighbor < 3 for r in new.itertuples())
+    with pytest.raises(ValueError, match="2 neighbours, 5 asked"):
+        synthetic_rows(df, k=5, strict=True)
+    with pytest.raises(ValueError, match="two minority rows"):
+        synthetic_rows(df.filter("label = 0 OR id = 0"), k=5)
