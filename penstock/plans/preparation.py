@@ -268,7 +268,11 @@ def p3_numeric_only(spark, sf_dir):
 
 @query(
     "p4_drop_denied",
-    f"""WITH {READINGS}, long AS (SELECT 'found' AS what, 2 AS n UNION ALL SELECT 'missing', 19 UNION ALL SELECT 'kept', 1)
+    f"""WITH {READINGS}, deny AS (SELECT unnest([{", ".join(repr(n) for n in C.DENY_LIST)}]) AS name),
+    cols AS (SELECT unnest(['1_FIT_001_PV', '2_LT_001_PV', '2_SV_101_STATUS']) AS name),
+    long AS (SELECT 'found' AS what, (SELECT count(*) FROM deny WHERE name IN (SELECT name FROM cols)) AS n
+      UNION ALL SELECT 'missing', (SELECT count(*) FROM deny WHERE name NOT IN (SELECT name FROM cols))
+      UNION ALL SELECT 'kept', (SELECT count(*) FROM cols WHERE name NOT IN (SELECT name FROM deny)))
     SELECT what, n::BIGINT AS n, (SELECT count(*) FROM ev) AS rows,
            (SELECT round(avg(value), 6) FROM ev) AS mean_kept FROM long""",
 )
