@@ -436,8 +436,13 @@ def g8_readiness(spark, sf_dir):
 
 @query(
     "g9_removal_report",
-    f"""WITH {SENSOR_WIDE}, v AS ({" UNION ALL ".join(f'SELECT var_samp(coalesce("{c}", 0)) AS v FROM wide' for c in SENSORS)})
-    SELECT 'deny_list' AS reason, 0 AS n_features UNION ALL SELECT 'all_null', 1 UNION ALL SELECT 'low_variance', 1 UNION ALL SELECT 'kept', (SELECT count(*) FROM v WHERE v >= 0.001)""",
+    f"""WITH {SENSOR_WIDE}, cells AS (SELECT {", ".join(f'coalesce("{c}", 0) AS "{c}"' for c in SENSORS)}, 1.0 AS stuck, NULL::DOUBLE AS empty FROM wide),
+    s AS ({" UNION ALL ".join(f"""SELECT '{c}' AS name, count("{c}") AS nn, var_samp("{c}") AS v FROM cells""" for c in (*SENSORS, "stuck", "empty"))}),
+    d AS (SELECT s.*, name IN (SELECT unnest([{", ".join(repr(n) for n in C.DENY_LIST)}])) AS denied FROM s)
+    SELECT 'deny_list' AS reason, (SELECT count(*) FROM d WHERE denied) AS n_features
+    UNION ALL SELECT 'all_null', (SELECT count(*) FROM d WHERE NOT denied AND nn = 0)
+    UNION ALL SELECT 'low_variance', (SELECT count(*) FROM d WHERE NOT denied AND nn > 0 AND coalesce(v, 0) < 0.001)
+    UNION ALL SELECT 'kept', (SELECT count(*) FROM d WHERE NOT denied AND nn > 0 AND v >= 0.001)""",
 )
 def g9_removal_report(spark, sf_dir):
     """How many features left for which reason."""
