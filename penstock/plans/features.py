@@ -192,7 +192,15 @@ def fs2_top_correlated(spark, sf_dir):
 
 @query(
     "fs3_drop_redundant",
-    f"""WITH {SENSOR_WIDE} SELECT unnest(['click', 'view', 'click_scaled', 'view_noisy']) AS feature, unnest([0, 0, 1, 1]) AS dropped, (SELECT count(*) FROM sw) AS n_rows""",
+    f"""WITH {SENSOR_WIDE}, f AS (SELECT coalesce(click, 0) AS a, coalesce(view, 0) AS b, coalesce(click, 0) * 3 + 1 AS c,
+                                        coalesce(view, 0) + minute % 2 AS d FROM sw),
+    r AS (SELECT abs(corr(b, a)) > {selection.REDUNDANT_CORRELATION} AS ba, abs(corr(c, a)) > {selection.REDUNDANT_CORRELATION} AS ca,
+                 abs(corr(c, b)) > {selection.REDUNDANT_CORRELATION} AS cb, abs(corr(d, a)) > {selection.REDUNDANT_CORRELATION} AS da,
+                 abs(corr(d, b)) > {selection.REDUNDANT_CORRELATION} AS db, abs(corr(d, c)) > {selection.REDUNDANT_CORRELATION} AS dc FROM f),
+    kb AS (SELECT *, NOT ba AS kb FROM r), kc AS (SELECT *, NOT (ca OR (kb AND cb)) AS kc FROM kb),
+    kd AS (SELECT *, NOT (da OR (kb AND db) OR (kc AND dc)) AS kd FROM kc)
+    SELECT unnest(['click', 'view', 'click_scaled', 'view_noisy']) AS feature, unnest([0, (NOT kb)::INT, (NOT kc)::INT, (NOT kd)::INT]) AS dropped,
+           (SELECT count(*) FROM sw) AS n_rows FROM kd""",
 )
 def fs3_drop_redundant(spark, sf_dir):
     """Columns that repeat an earlier one leave."""
