@@ -394,7 +394,9 @@ def e12_best_f1_threshold(spark, sf_dir):
     rows AS (SELECT 'duplicate_rows' AS "check", found FROM dup
       UNION ALL SELECT 'scaler_fitted_outside_train', CASE WHEN (SELECT min(value) FROM tr) <> (SELECT min(value) FROM ev)
                  OR (SELECT max(value) FROM tr) <> (SELECT max(value) FROM ev) THEN 1.0 ELSE 0.0 END
-      UNION ALL SELECT 'windows_over_boundary', 3.0
+      UNION ALL SELECT 'windows_over_boundary', (SELECT count(*)::DOUBLE FROM (
+                 SELECT min(s) OVER o AS lo, max(s) OVER o AS hi FROM (SELECT sec, event_id, (row_id >= cut)::INT AS s FROM w, m)
+                 WINDOW o AS (ORDER BY sec, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE lo <> hi)
       UNION ALL SELECT 'suspicious_f1', round(2.0 * tp / (2 * tp + fp + fn), 9) FROM k)
     SELECT "check", found, CASE WHEN "check" = 'suspicious_f1' THEN (found <= 0.95)::INT ELSE (found = 0)::INT END AS passed FROM rows""",
 )
