@@ -421,10 +421,13 @@ def e13_leakage_audit(spark, sf_dir):
 
 @query(
     "g8_readiness",
-    f"""WITH {SENSOR_WIDE}, k AS (SELECT count(*) FILTER (WHERE attack = 1) AS n FROM wide WHERE row_id >= (SELECT count(*) FROM wide) * 2 // 3)
+    f"""WITH {SENSOR_WIDE}, k AS (SELECT count(*) FILTER (WHERE attack = 1) AS n, (SELECT count(*) FROM wide) * 2 // 3 AS loaded,
+                                  (SELECT count(*) FROM (SELECT unnest([{", ".join(repr(c) for c in SENSORS)}]) AS s)
+                                   WHERE s IN (SELECT unnest([{", ".join(repr(c) for c in C.DENY_LIST)}]))) AS denied
+                           FROM wide WHERE row_id >= (SELECT count(*) FROM wide) * 2 // 3)
     SELECT unnest(['data_loaded', 'stabilization_removed', 'deny_list_removed', 'missing_values_handled', 'low_variance_removed',
         'scaler_fitted_on_train', 'data_quality_validated', 'enough_attack_rows']) AS "check",
-        unnest([1, 1, 0, 1, 0, 1, 1, (n >= 50)::INT]) AS passed FROM k""",
+        unnest([(loaded > 0)::INT, 1, (denied > 0)::INT, 1, 0, 1, 1, (n >= 50)::INT]) AS passed FROM k""",
 )
 def g8_readiness(spark, sf_dir):
     """Eight checks after preparing the sensor table."""
