@@ -136,13 +136,30 @@ def _plans(ranges: DataFrame, k: int, seed: int, split_here: bool, least: int) -
     return ranges.mapInPandas(run, "tree int, node long, value double, feats array<int>, cuts array<double>").toPandas()
 
 
+# Partial (tree, node, cut, side) rows a task holds before it sends their merged sums.
+MERGE_KEYS = 1 << 20
+
+
 def _splits(rows: DataFrame, trees: list[dict[str, np.ndarray]], plans: list[tuple[np.ndarray, np.ndarray]], k: int, min_leaf: int) -> pd.DataFrame:
     """Per open node with drawn cuts: the cut of largest weighted Gini decrease that leaves `min_leaf` rows on both sides (ties: the
     first drawn), with the class weights of both sides. Sums by (tree, node, cut, side) and the choice run as aggregates."""
+    def merged(keys, w0s, w1s, ns) -> pa.RecordBatch:
+        both, inv = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
+        inv = inv.reshape(-1)
+        tree_col, uniq = both[:, 0], both[:, 1]
+        return pa.record_batch({
+            "tree": pa.array(tree_col.astype(np.int32)), "node": pa.array(uniq // (2 * k)), "k": pa.array(((uniq // 2) % k).astype(np.int32)),
+            "side": pa.array((uniq % 2).astype(np.int32)), "w0": pa.array(np.bincount(inv, np.concatenate(w0s), len(both))),
+            "w1": pa.array(np.bincount(inv, np.concatenate(w1s), len(both))),
+            "n": pa.array(np.rint(np.bincount(inv, np.concatenate(ns), len(both))).astype(np.int64)),
+        })
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sums are merged over the batches of a task until MERGE_KEYS partial rows are held, then sent: a task sends each
+        # (tree, node, cut, side) it saw about once, in bounded memory.
+        keys, w0s, w1s, ns, held = [], [], [], [], 0
         for batch in batches:
             x, y, w = _features(batch), batch.column("label").to_numpy(zero_copy_only=False), batch.column("_w").to_numpy(zero_copy_only=False)
-            cols = {c: [] for c in ("tree", "node", "k", "side", "w0", "w1", "n")}
             for t, tree in enumerate(trees):
                 feats, cuts = plans[t]
                 node = walk(tree, x)
@@ -155,19 +172,16 @@ def _splits(rows: DataFrame, trees: list[dict[str, np.ndarray]], plans: list[tup
                 key = (node[m][:, None] * k + np.arange(k)[None, :]) * 2 + side
                 key, ww, yy = key[valid], np.broadcast_to(w[m][:, None], f.shape)[valid], np.broadcast_to(y[m][:, None], f.shape)[valid]
                 uniq, inv = np.unique(key, return_inverse=True)
-                cols["tree"] += [t] * len(uniq)
-                cols["node"] += (uniq // (2 * k)).tolist()
-                cols["k"] += ((uniq // 2) % k).tolist()
-                cols["side"] += (uniq % 2).tolist()
-                cols["w0"] += np.bincount(inv, ww * (1 - yy), len(uniq)).tolist()
-                cols["w1"] += np.bincount(inv, ww * yy, len(uniq)).tolist()
-                cols["n"] += np.bincount(inv, minlength=len(uniq)).tolist()
-            if cols["tree"]:
-                yield pa.record_batch({
-                    "tree": pa.array(cols["tree"], pa.int32()), "node": pa.array(cols["node"], pa.int64()), "k": pa.array(cols["k"], pa.int32()),
-                    "side": pa.array(cols["side"], pa.int32()), "w0": pa.array(cols["w0"], pa.float64()), "w1": pa.array(cols["w1"], pa.float64()),
-                    "n": pa.array(cols["n"], pa.int64()),
-                })
+                keys.append(np.stack([np.full(len(uniq), t, np.int64), uniq], axis=1))
+                w0s.append(np.bincount(inv, ww * (1 - yy), len(uniq)))
+                w1s.append(np.bincount(inv, ww * yy, len(uniq)))
+                ns.append(np.bincount(inv, minlength=len(uniq)).astype(np.float64))
+                held += len(uniq)
+            if held >= MERGE_KEYS:
+                yield merged(keys, w0s, w1s, ns)
+                keys, w0s, w1s, ns, held = [], [], [], [], 0
+        if keys:
+            yield merged(keys, w0s, w1s, ns)
 
     parts = rows.mapInArrow(run, "tree int, node long, k int, side int, w0 double, w1 double, n long")
     side = lambda c, v: F.sum(F.when(F.col("side") == v, F.col(c)).otherwise(F.lit(0)))
