@@ -7,7 +7,11 @@
    distance of the k-th neighbour of every query; cells that lie beyond the bound are skipped.
 4. Queries travel only to the cells they still need. A cell with many candidates is cut into slices, and its
    queries into batches, so no task holds more than about one slice and one batch.
-5. Every (batch, slice) yields the best k per query; a final top-k merges the slices.
+5. Every (batch, slice) yields the best k per query; a final top-k merges the slices. Squared distances from one matrix
+   product leave the candidates that may be among the k best by more than the rounding error; those alone are measured by differences.
+
+The number of pivots follows from the slice size, so a query that needs every cell is sent once a slice of candidates, and
+the cells of a query stay one short list until the join. Work arrays hold `_CELLS` numbers.
 
 Nothing is dropped to save work: a skipped cell provably holds no neighbour. The method follows the
 published pivot-based kNN join (Lu, Shen, Chen, Ooi; VLDB 2012).
@@ -26,9 +30,10 @@ from penstock.functions.draws import seeded_hash
 from penstock.sources.staging import stage
 
 MAX_PIVOTS = 4096
-SLICE_ROWS = 4096
+SLICE_ROWS = 16384
 _SPREAD = 64
 _SLACK = 1e-9
+_CELLS = 500_000
 
 
 def knn_join(
@@ -85,7 +90,7 @@ def _nearest_vectors(asked: DataFrame, distinct: DataFrame, need: int, pivots: i
     """`(id, neighbor, distance)`: the `need` nearest distinct candidate vectors of each asked vector."""
     spark = asked.sparkSession
     total = distinct.count()
-    n_pivots = max(1, min(pivots or int(total**0.5), MAX_PIVOTS))
+    n_pivots = max(1, min(pivots or min(int(total**0.5), -(-total // slice_rows)), MAX_PIVOTS))
     chosen = distinct.orderBy(seeded_hash("pivot", "id"), "id").limit(n_pivots).select("vec").collect()
     if not chosen:
         return spark.createDataFrame([], "id long, neighbor long, distance double")
@@ -95,7 +100,8 @@ def _nearest_vectors(asked: DataFrame, distinct: DataFrame, need: int, pivots: i
     cells = stage(_nearest_pivot(distinct, points), "knn-cells")
     radius, bounds, sizes = _cell_facts(cells, n_pivots, need)
     routed = stage(_route(asked, points, radius, bounds, sizes, need), "knn-routed")
-    visits = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    visited = routed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    visits = {r["cell"]: r["n"] for r in visited.collect()}  # one row per pivot
     grid = spark.createDataFrame(
         [(c, max(1, -(-int(sizes[c]) // slice_rows)), max(1, -(-visits.get(c, 0) // slice_rows))) for c in range(n_pivots)],
         "cell int, n_slices long, n_batches long",
@@ -104,7 +110,7 @@ def _nearest_vectors(asked: DataFrame, distinct: DataFrame, need: int, pivots: i
 
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    left = routed.join(grid, "cell").withColumn("batch", spot("n_batches")).withColumn("slice", numbers("n_slices"))
+    left = routed.select("id", "vec", F.explode("cells").alias("cell")).join(grid, "cell").withColumn("batch", spot("n_batches")).withColumn("slice", numbers("n_slices"))
     right = cells.join(grid, "cell").withColumn("slice", spot("n_slices")).withColumn("batch", numbers("n_batches"))
     keys, columns = ["cell", "batch", "slice"], ["cell", "batch", "slice", "id", "vec"]
     found = (
@@ -135,7 +141,7 @@ def _cell_facts(cells: DataFrame, n_pivots: int, need: int) -> tuple[np.ndarray,
 def _distances(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Euclidean distances by differences, in bounded memory."""
     out = np.empty((len(rows), len(points)))
-    step = max(1, 4_000_000 // max(1, points.size))
+    step = max(1, _CELLS // max(1, points.size))
     for i in range(0, len(rows), step):
         delta = rows[i : i + step, None, :] - points[None, :, :]
         out[i : i + step] = np.sqrt((delta * delta).sum(axis=2))
@@ -144,8 +150,10 @@ def _distances(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 def _nearest_pivot(df: DataFrame, points: np.ndarray) -> DataFrame:
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
+        rows = max(1, _CELLS // len(points))
+        for whole in frames:
+            for start in range(0, len(whole), rows):
+                frame = whole.iloc[start : start + rows]
                 d = _distances(np.stack(frame["vec"].to_numpy()), points)
                 cell = d.argmin(axis=1)
                 yield frame.assign(cell=cell, to_pivot=d[np.arange(len(frame)), cell])
@@ -154,10 +162,10 @@ def _nearest_pivot(df: DataFrame, points: np.ndarray) -> DataFrame:
 
 
 def _route(asked: DataFrame, points: np.ndarray, radius: np.ndarray, bounds: np.ndarray, sizes: np.ndarray, need: int) -> DataFrame:
-    """Asked vectors, once for every cell that may hold one of their neighbours."""
+    """Asked vectors with the cells that may hold one of their neighbours."""
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = max(1, 4_000_000 // bounds.size)
+        rows = max(1, _CELLS // bounds.size)
         for whole in frames:
             for start in range(0, len(whole), rows):
                 frame = whole.iloc[start : start + rows]
@@ -166,12 +174,38 @@ def _route(asked: DataFrame, points: np.ndarray, radius: np.ndarray, bounds: np.
                 reach = np.partition(upper, need - 1, axis=1)[:, need - 1]
                 lower = np.maximum(d - radius[None, :], 0.0)
                 wanted = (lower <= reach[:, None] * (1 + _SLACK) + _SLACK) & (sizes > 0)[None, :]
-                which, cell = np.nonzero(wanted)
-                yield pd.DataFrame(
-                    {"id": frame["id"].to_numpy()[which], "vec": frame["vec"].to_numpy()[which], "cell": cell.astype("int32")}
-                )
+                yield frame.assign(cells=[np.nonzero(w)[0].astype("int32") for w in wanted])
 
-    return asked.select("id", "vec").mapInPandas(visit, "id long, vec array<double>, cell int")
+    return asked.select("id", "vec").mapInPandas(visit, "id long, vec array<double>, cells array<int>")
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`(row of x, row of y, distance)` of the `need` nearest rows of `y` for each row of `x`, nearest first, ties by row.
+
+    `|x|^2 + |y|^2 - 2xy` is off by at most the slack; a row of `y` further beyond the `need`-th best than twice that is no
+    neighbour. Rows that cannot be compared (NaN) stay in.
+    """
+    need = min(need, len(y))
+    yy = (y * y).sum(axis=1)
+    rows = max(1, _CELLS // len(y))
+    pairs = max(1, _CELLS // max(1, x.shape[1]))
+    found = []
+    for start in range(0, len(x), rows):
+        part = x[start : start + rows]
+        xx = (part * part).sum(axis=1)
+        rough = xx[:, None] + yy[None, :] - 2.0 * (part @ y.T)
+        limit = np.partition(rough, need - 1, axis=1)[:, need - 1]
+        slack = 8.0 * (x.shape[1] + 4) * np.finfo(float).eps * (xx + yy.max())
+        i, j = np.nonzero(~(rough > (limit + slack)[:, None]))
+        d = np.empty(len(i))
+        for at in range(0, len(i), pairs):
+            delta = part[i[at : at + pairs]] - y[j[at : at + pairs]]
+            d[at : at + pairs] = np.sqrt((delta * delta).sum(axis=1))
+        order = np.lexsort((j, d, i))
+        first = np.searchsorted(i, np.arange(len(part)))  # `i` ascends and sorting keeps its blocks
+        keep = order[np.arange(len(i)) - first[i] < need]
+        found.append((i[keep] + start, j[keep], d[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _best_of(need: int):
@@ -179,15 +213,8 @@ def _best_of(need: int):
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "neighbor": [], "distance": []})
         right = right.sort_values("id")
-        d = _distances(np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy()))
-        order = np.argsort(d, axis=1, kind="stable")[:, :need]
-        return pd.DataFrame(
-            {
-                "id": np.repeat(left["id"].to_numpy(), order.shape[1]),
-                "neighbor": right["id"].to_numpy()[order].ravel(),
-                "distance": np.take_along_axis(d, order, axis=1).ravel(),
-            }
-        )
+        i, j, d = _nearest(np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy()), need)
+        return pd.DataFrame({"id": left["id"].to_numpy()[i], "neighbor": right["id"].to_numpy()[j], "distance": d})
 
     return best
 
