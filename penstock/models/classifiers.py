@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from penstock.functions.decisions import predicted
 from penstock.models import extra_trees, kernels
 from penstock.session import scratch_dir, scratch_path
+from penstock.sources.staging import stage
 
 MAX_DEPTH = 30  # the deepest tree MLlib builds
 
@@ -168,16 +169,29 @@ def compact(train: DataFrame) -> DataFrame:
     return train.coalesce(max(1, -(-train.count() // ROWS_PER_TASK)))
 
 
+def merge_equal(train: DataFrame, weight: str | None, validation: str | None) -> DataFrame:
+    """Equal rows of `(features, label[, weight])` as one row with their summed weight, in `weight`.
+
+    A tree without bagging and without a leaf limit is the same on both, as it sees weighted sums only."""
+    keys = ["features", "label", *([validation] if validation else [])]
+    total = F.sum(F.col(weight)) if weight else F.count(F.lit(1)).cast("double")
+    return stage(train.groupBy(*keys).agg(total.alias(weight or "weight")), "merged-rows")
+
+
 def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None, validation: str | None = None) -> Scorer:
     """Fit a tree ensemble on `(features, label[, weight])`.
 
-    Boosting stops early when `validation` names a boolean column of held-out rows.
+    Boosting stops early when `validation` names a boolean column of held-out rows. Beyond `ROWS_PER_TASK` rows, equal rows are
+    merged first where that gives the same trees.
     """
     ensure_checkpoints(train.sparkSession)
-    train = compact(train)
     weight = weight if spec.weighted else None
     if spec.kind == "extra":
-        return fit_extra_trees(train, spec, weight)
+        return fit_extra_trees(compact(train), spec, weight)
+    sums_only = spec.min_leaf == 1 and (spec.kind == "boosted" or not spec.bagged)
+    if sums_only and train.count() > ROWS_PER_TASK:
+        train, weight = merge_equal(train, weight, validation), weight or "weight"
+    train = compact(train)
     if spec.kind == "boosted":
         learner = GBTClassifier(
             maxIter=spec.trees, maxDepth=min(spec.depth, MAX_DEPTH), stepSize=spec.step, seed=spec.seed,

@@ -11,7 +11,7 @@ Each depth costs two passes (`mapInArrow`, then an aggregate by tree and node),
 2. splits: the weights and rows on both sides of every drawn cut of every open node, as sums over (tree, node, cut, side).
 Rows find their node by walking the trees grown so far (numpy, on the executors); only the small per-node sums reach the
 driver: the executors draw each open node's features and cuts and pick its best cut, so k numbers a node and one row a split
-node are collected. Draws come from generators seeded by (seed, tree, node), so a run gives the same forest every time. Scoring walks all trees on Arrow batches.
+node are collected. Equal rows are merged first and counted (`_n`), so a pass costs the distinct rows. Draws come from generators seeded by (seed, tree, node), so a run gives the same forest every time. Scoring walks all trees on Arrow batches.
 
 Rows need finite features; a null or non-finite feature is refused by `assemble`.
 """
@@ -74,11 +74,17 @@ def _features(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, width)
 
 
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, label, summed weight and number of the merged rows of a batch."""
+    y, w, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "_w", "_n"))
+    return _features(batch), y, w * n, n
+
+
 def _ranges(rows: DataFrame, trees: list[dict[str, np.ndarray]]) -> DataFrame:
     """Per open node: least and largest value of every feature, class weights and rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, w = _features(batch), batch.column("label").to_numpy(zero_copy_only=False), batch.column("_w").to_numpy(zero_copy_only=False)
+            x, y, w, c = _rows(batch)
             out = {k: [] for k in ("tree", "node", "lo", "hi", "w0", "w1", "n")}
             for t, tree in enumerate(trees):
                 node = walk(tree, x)
@@ -94,7 +100,7 @@ def _ranges(rows: DataFrame, trees: list[dict[str, np.ndarray]]) -> DataFrame:
                 out["hi"] += list(np.maximum.reduceat(xs, starts, axis=0))
                 out["w0"] += np.add.reduceat(w[order] * (1 - y[order]), starts).tolist()
                 out["w1"] += np.add.reduceat(w[order] * y[order], starts).tolist()
-                out["n"] += np.diff(np.append(starts, len(order))).tolist()
+                out["n"] += np.add.reduceat(c[order], starts).tolist()
             if out["tree"]:
                 yield pa.record_batch({
                     "tree": pa.array(out["tree"], pa.int32()), "node": pa.array(out["node"], pa.int64()),
@@ -159,23 +165,23 @@ def _splits(rows: DataFrame, trees: list[dict[str, np.ndarray]], plans: list[tup
         # (tree, node, cut, side) it saw about once, in bounded memory.
         keys, w0s, w1s, ns, held = [], [], [], [], 0
         for batch in batches:
-            x, y, w = _features(batch), batch.column("label").to_numpy(zero_copy_only=False), batch.column("_w").to_numpy(zero_copy_only=False)
+            x, y, w, c = _rows(batch)
             for t, tree in enumerate(trees):
                 feats, cuts = plans[t]
                 node = walk(tree, x)
                 m = np.nonzero((tree["feat"][node] == OPEN) & (feats[node, 0] >= 0))[0]
                 if not len(m):
                     continue
-                f, c = feats[node[m]], cuts[node[m]]
+                f, cut = feats[node[m]], cuts[node[m]]
                 valid = f >= 0
-                side = (x[m[:, None], np.maximum(f, 0)] > c).astype(np.int64)
+                side = (x[m[:, None], np.maximum(f, 0)] > cut).astype(np.int64)
                 key = (node[m][:, None] * k + np.arange(k)[None, :]) * 2 + side
                 key, ww, yy = key[valid], np.broadcast_to(w[m][:, None], f.shape)[valid], np.broadcast_to(y[m][:, None], f.shape)[valid]
                 uniq, inv = np.unique(key, return_inverse=True)
                 keys.append(np.stack([np.full(len(uniq), t, np.int64), uniq], axis=1))
                 w0s.append(np.bincount(inv, ww * (1 - yy), len(uniq)))
                 w1s.append(np.bincount(inv, ww * yy, len(uniq)))
-                ns.append(np.bincount(inv, minlength=len(uniq)).astype(np.float64))
+                ns.append(np.bincount(inv, np.broadcast_to(c[m][:, None], f.shape)[valid], len(uniq)))
                 held += len(uniq)
             if held >= MERGE_KEYS:
                 yield merged(keys, w0s, w1s, ns)
@@ -201,8 +207,9 @@ def _gini_column(w0, w1):
 
 def grow(train: DataFrame, trees: int, depth: int, min_leaf: int = 1, min_split: int = 2, seed: int = 42, weight: str | None = None) -> list[dict[str, np.ndarray]]:
     """Fit `trees` extra-trees on `(features, label[, weight])`, all nodes of one depth at a time."""
-    rows = stage(train.select(vector_to_array("features").alias("_x"), F.col("label").cast("double").alias("label"),
-                              (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")), "extra-rows")
+    rows = train.select(vector_to_array("features").alias("_x"), F.col("label").cast("double").alias("label"),
+                        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+    rows = stage(rows.groupBy("_x", "label", "_w").agg(F.count(F.lit(1)).alias("_n")), "extra-rows")
     forest = [Tree() for _ in range(trees)]
     width = len(rows.first()["_x"]) if rows.take(1) else 0
     k = max(1, int(math.sqrt(width))) if width else 1

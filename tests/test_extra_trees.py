@@ -61,3 +61,27 @@ def test_pure_or_tiny_tables_give_single_leaves(spark):
     assert all(len(t["feat"]) == 1 and t["value"][0] == 1.0 for t in forest)
     few = df.filter(F.col("id") < 3).withColumn("label", (F.col("id") % 2).cast("int"))
     assert all(len(t["feat"]) == 1 for t in X.grow(few, 2, 5, 1, 10))
+
+
+def test_equal_rows_are_merged(spark, monkeypatch):
+    """Copies cost one row of a pass and count towards leaf limits as the rows they are."""
+    rows = [(i, [float(i % 2), float(i // 2 % 2)], int(i % 8 in (1, 2, 3, 6)), 1.0) for i in range(800)]
+    df = M.from_array(spark.createDataFrame(rows, "id long, vec array<double>, label int, weight double"), "vec")
+    staged, plain = [], X.stage
+    monkeypatch.setattr(X, "stage", lambda d, tag: staged.append(plain(d, tag)) or staged[-1])
+    forest = X.grow(df, 3, 4, 5, 10, weight="weight")
+    assert staged[0].count() <= 8 and staged[0].agg(F.sum("_n")).first()[0] == 800
+    assert all((t["feat"] >= 0).any() for t in forest)
+
+
+@pytest.mark.parametrize("spec", [M.TreeSpec("forest", 4, 5, bagged=False), M.TreeSpec("boosted", 20, 3, weighted=False)])
+def test_merged_fit_equals_plain_fit(spark, monkeypatch, spec):
+    rows = [(i, [float(i % 2), float(i // 2 % 2)], int(i * 7 % 10 < (8, 3, 2, 9)[i % 4]), 1.0 + i % 10 // 5) for i in range(4000)]
+    df = M.from_array(spark.createDataFrame(rows, "id long, vec array<double>, label int, weight double"), "vec")
+    plain = M.fit_trees(df, spec, "weight").score(df).select("id", "p").orderBy("id").collect()
+    fitted = []
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(M, "compact", lambda t, keep=M.compact: fitted.append(t.count()) or keep(t))
+    merged = M.fit_trees(df, spec, "weight").score(df).select("id", "p").orderBy("id").collect()
+    assert fitted == [8]
+    assert all(a.id == b.id and abs(a.p - b.p) < 1e-9 for a, b in zip(plain, merged, strict=True))
