@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -141,6 +142,31 @@ class ExtraTrees(Scorer):
         return sum(len(tree["feat"]) for tree in self.forest)
 
 
+class ForestParts(Scorer):
+    """A forest grown in parts of its trees: P(attack) is the mean over all trees."""
+
+    def __init__(self, parts: list[Scorer]):
+        self.parts = parts
+
+    def score(self, df: DataFrame, out: str = "p") -> DataFrame:
+        trees = [part.model.getNumTrees for part in self.parts]
+        scored, names = df, [f"_part_{i}" for i in range(len(trees))]
+        for part, name in zip(self.parts, names, strict=True):
+            scored = part.score(scored, name)
+        total = sum((F.col(name) * n for name, n in zip(names, trees, strict=True)), F.lit(0.0))
+        return scored.select(*df.columns, (total / sum(trees)).alias(out))
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        spark.createDataFrame([(len(self.parts),)], "parts int").write.mode("overwrite").parquet(f"{path}/parts")
+        for i, part in enumerate(self.parts):
+            part.save(f"{path}/part-{i}")
+
+    @property
+    def nodes(self) -> int:
+        return sum(part.nodes for part in self.parts)
+
+
 def fit_extra_trees(train: DataFrame, spec: TreeSpec, weight: str | None) -> ExtraTrees:
     """The published extra-trees: minimum split size twice the leaf size, as in the configurations."""
     depth = min(spec.depth, MAX_DEPTH)
@@ -156,12 +182,18 @@ def load_scorer(spark: SparkSession, path: str) -> Scorer:
 
     try:
         model = load(path)
-    except AnalysisException:  # extra-trees keep a table of nodes
+    except AnalysisException:  # extra-trees keep a table of nodes, forests in parts their number
+        try:
+            n = spark.read.parquet(f"{path}/parts").first()["parts"]
+            return ForestParts([Scorer(load(f"{path}/part-{i}")) for i in range(n)])
+        except AnalysisException:
+            pass
         return ExtraTrees(extra_trees.from_node_table(spark.read.parquet(f"{path}/nodes").collect()))
     return MarginScorer(model) if isinstance(model, ml.LinearSVCModel) else Scorer(model)
 
 
 ROWS_PER_TASK = 20_000
+FOREST_TASKS = 16  # tasks that the parts of one forest keep busy together
 
 
 def compact(train: DataFrame) -> DataFrame:
@@ -182,7 +214,7 @@ def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None, valid
     """Fit a tree ensemble on `(features, label[, weight])`.
 
     Boosting stops early when `validation` names a boolean column of held-out rows. Beyond `ROWS_PER_TASK` rows, equal rows are
-    merged first where that gives the same trees.
+    merged first where that gives the same trees, and a forest of few tasks is grown in parts of its trees, all at once.
     """
     ensure_checkpoints(train.sparkSession)
     weight = weight if spec.weighted else None
@@ -207,7 +239,20 @@ def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None, valid
         )
     if weight:
         learner = learner.setWeightCol(weight)
-    return Scorer(learner.fit(train))
+    tasks = train.rdd.getNumPartitions()
+    parts = min(spec.trees, FOREST_TASKS // tasks) if spec.kind == "forest" and spec.bagged and 1 < tasks else 1
+    return _fit_in_parts(learner, train, spec, parts) if parts > 1 else Scorer(learner.fit(train))
+
+
+def _fit_in_parts(learner: RandomForestClassifier, train: DataFrame, spec: TreeSpec, parts: int) -> ForestParts:
+    """The trees of one forest, dealt over `parts` fits with seeds of their own that run at once ("auto" means "sqrt" for several trees)."""
+
+    def fit(i: int) -> Scorer:
+        trees = spec.trees // parts + (i < spec.trees % parts)
+        return Scorer(learner.copy().setNumTrees(trees).setSeed(spec.seed + i).setFeatureSubsetStrategy("sqrt").fit(train))
+
+    with ThreadPoolExecutor(parts) as pool:
+        return ForestParts(list(pool.map(fit, range(parts))))
 
 
 def fit_logistic(train: DataFrame, weight: str | None = None, max_iter: int = 100) -> Scorer:

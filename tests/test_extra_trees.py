@@ -68,6 +68,7 @@ def test_equal_rows_are_merged(spark, monkeypatch):
     rows = [(i, [float(i % 2), float(i // 2 % 2)], int(i % 8 in (1, 2, 3, 6)), 1.0) for i in range(800)]
     df = M.from_array(spark.createDataFrame(rows, "id long, vec array<double>, label int, weight double"), "vec")
     staged, plain = [], X.stage
+    monkeypatch.setattr(X, "MERGE_ROWS", 100)
     monkeypatch.setattr(X, "stage", lambda d, tag: staged.append(plain(d, tag)) or staged[-1])
     forest = X.grow(df, 3, 4, 5, 10, weight="weight")
     assert staged[0].count() <= 8 and staged[0].agg(F.sum("_n")).first()[0] == 800
@@ -85,3 +86,18 @@ def test_merged_fit_equals_plain_fit(spark, monkeypatch, spec):
     merged = M.fit_trees(df, spec, "weight").score(df).select("id", "p").orderBy("id").collect()
     assert fitted == [8]
     assert all(a.id == b.id and abs(a.p - b.p) < 1e-9 for a, b in zip(plain, merged, strict=True))
+
+
+def test_large_forest_is_grown_in_parts(spark, blobs, monkeypatch, tmp_path):
+    """Parts of a forest are fitted at once, with all trees among them; a saved one scores alike."""
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 300)
+    scorer = M.fit_trees(blobs, M.TreeSpec("forest", 11, 6, 2), "weight")
+    assert len(scorer.parts) == 8 and sum(p.model.getNumTrees for p in scorer.parts) == 11
+    scored = scorer.classify(blobs)
+    assert scored.filter("prediction = label").count() > 0.85 * 600
+    scorer.save(f"{tmp_path}/model")
+    again = M.load_scorer(spark, f"{tmp_path}/model")
+    both = again.score(scorer.score(blobs, "a"), "b")
+    assert both.filter("a is null or abs(a - b) > 1e-12").count() == 0 and again.nodes == scorer.nodes
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 20_000)
+    assert not hasattr(M.fit_trees(blobs, M.TreeSpec("forest", 11, 3), "weight"), "parts")
