@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,19 @@ def score_online(stream: DataFrame, params: Params, score: Callable[[DataFrame],
     return score(apply_params(stream.select(*keep, *params), params, min_max))
 
 
+def _rolling(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the finite values and number of the non-null values among each value and the `width - 1` before it."""
+    finite = np.isfinite(values)
+    clean, seen = np.where(finite, values, 0.0), ~np.isnan(values)
+    total, parts, n = np.zeros(len(values)), np.zeros(len(values)), np.zeros(len(values), dtype="int64")
+    for back in range(min(width, len(values))):
+        upto = len(values) - back
+        total[back:] += clean[:upto]
+        parts[back:] += finite[:upto]
+        n[back:] += seen[:upto]
+    return np.divide(total, parts, out=np.full(len(values), np.nan), where=parts > 0), n
+
+
 def recent_rows(
     stream: DataFrame, entity: str, order: str, value: str, width: int = BUFFER_ROWS, watermark: str = WATERMARK, idle_ms: int | None = None
 ) -> DataFrame:
@@ -76,9 +90,9 @@ def recent_rows(
         rows = sorted(zip(times, values, strict=True))
         ready = [r for r in rows if r[0] < passed * 1000]
         waiting = rows[len(ready) :]
-        recent = pd.Series([*last, *(v for _, v in ready)], dtype=float).rolling(width, min_periods=1)
-        out = pd.DataFrame({"at": [t for t, _ in ready], "mean": recent.mean()[len(last) :].to_numpy(), "n": recent.count()[len(last) :].astype("int64").to_numpy()})
-        out.insert(0, "entity", key[0])
+        mean, n = _rolling(np.array([*last, *(v for _, v in ready)], dtype=float), width)
+        at = np.array([t for t, _ in ready], dtype="int64")
+        out = pd.DataFrame({"entity": key[0], "at": at, "mean": mean[len(last) :], "n": n[len(last) :]})
         last = [*last, *(v for _, v in ready)][-width:]
         state.update(([t for t, _ in waiting], [v for _, v in waiting], last))
         if waiting:
