@@ -33,6 +33,7 @@ from penstock.llm.common import small_batches, table
 BITS, DIM, GRAMS, EPOCHS, STEPS, RATE, SEED = 16, 16, 4, 5, 100_000, 0.3, 13
 FIT_DOCS, FIT_NNZ, CALIBRATE, TARGET = 20_000, 4_000_000, 10, 0.99
 CHARS = 1 << 21
+MEAN_CHARS = 1 << 17  # characters whose subwords, as numbers, stay in the processor's cache
 FOLDS, HELD_OUT = 3, 1
 _P, _MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,11 +96,12 @@ def pieces(texts: list[str | None], chars: int = CHARS) -> Iterator[tuple[int, i
 def mean_vectors(texts: list[str | None], emb: np.ndarray) -> np.ndarray:
     """Mean subword embedding of each text (zeros for a text without subwords)."""
     out = np.zeros((len(texts), emb.shape[1]))
-    for a, z in pieces(texts):
+    columns = np.ascontiguousarray(emb.T, dtype=np.float64)  # one small table a number: gathers stay in the cache
+    for a, z in pieces(texts, MEAN_CHARS):
         row, bucket = subwords(texts[a:z])
         count = np.bincount(row, minlength=z - a).astype(np.float64)
         for d in range(emb.shape[1]):
-            out[a:z, d] = np.bincount(row, weights=emb[bucket, d], minlength=z - a) / np.maximum(count, 1)
+            out[a:z, d] = np.bincount(row, weights=columns[d].take(bucket), minlength=z - a) / np.maximum(count, 1)
     return out
 
 

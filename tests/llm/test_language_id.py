@@ -60,3 +60,21 @@ def test_empty_and_unlearnable(spark, no_docs, odd_docs):
     assert lid.identify(no_docs).count() == 0
     blind = odd_docs.drop("lang").withColumn("lang", odd_docs["text"].substr(1, 0).cast("string")).na.replace("", None, "lang")
     assert {r.lang_pred for r in lid.identify(blind).collect()} == {"und"}
+
+
+def test_means_go_by_small_pieces(monkeypatch):
+    """The subwords of one step stay few, and cuts between texts change no mean."""
+    import numpy as np
+
+    from penstock.llm import op12_language_id as op
+
+    texts = [f"word {i} " * 3000 for i in range(40)] + [None, "", "x"]
+    emb = np.random.default_rng(1).normal(size=(1 << op.BITS, op.DIM)).astype(np.float32)
+    sizes, plain = [], op.subwords
+    monkeypatch.setattr(op, "subwords", lambda t: sizes.append(sum(len(x or "") + 1 for x in t)) or plain(t))
+    got = op.mean_vectors(texts, emb)
+    assert max(sizes) <= op.MEAN_CHARS < sum(sizes)
+    for i in (0, 17, 41, 42):
+        row, bucket = plain([texts[i]])
+        want = emb[bucket].astype(np.float64).mean(0) if len(bucket) else np.zeros(op.DIM)
+        assert np.allclose(got[i], want)
