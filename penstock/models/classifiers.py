@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penstock.functions.decisions import predicted
-from penstock.models import extra_trees, kernels
+from penstock.models import cell_forest, extra_trees, kernels
 from penstock.session import scratch_dir, scratch_path
 from penstock.sources.staging import stage
 
@@ -167,6 +167,17 @@ class ForestParts(Scorer):
         return sum(part.nodes for part in self.parts)
 
 
+class CellForest(ExtraTrees):
+    """A forest grown on counted cells (`cell_forest.grow`), scored by its decision table; saved and loaded as its nodes."""
+
+    def __init__(self, forest: list[dict], cuts: list):
+        super().__init__(forest)
+        self.cuts, self.table = cuts, cell_forest.decision_table(forest, cuts)
+
+    def score(self, df: DataFrame, out: str = "p") -> DataFrame:
+        return cell_forest.score(df, self.cuts, self.table, out)
+
+
 def fit_extra_trees(train: DataFrame, spec: TreeSpec, weight: str | None) -> ExtraTrees:
     """The published extra-trees: minimum split size twice the leaf size, as in the configurations."""
     depth = min(spec.depth, MAX_DEPTH)
@@ -194,6 +205,7 @@ def load_scorer(spark: SparkSession, path: str) -> Scorer:
 
 ROWS_PER_TASK = 20_000
 FOREST_TASKS = 16  # tasks that the parts of one forest keep busy together
+CELL_ROWS = 160_000  # a bagged forest of more rows is grown on counted cells where these are bounded
 
 
 def compact(train: DataFrame) -> DataFrame:
@@ -214,7 +226,8 @@ def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None, valid
     """Fit a tree ensemble on `(features, label[, weight])`.
 
     Boosting stops early when `validation` names a boolean column of held-out rows. Beyond `ROWS_PER_TASK` rows, equal rows are
-    merged first where that gives the same trees, and a forest of few tasks is grown in parts of its trees, all at once.
+    merged first where that gives the same trees, and a forest of few tasks is grown in parts of its trees, all at once. Beyond
+    `CELL_ROWS` rows, a bagged forest on few features is grown on counted cells.
     """
     ensure_checkpoints(train.sparkSession)
     weight = weight if spec.weighted else None
@@ -223,6 +236,10 @@ def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None, valid
     sums_only = spec.min_leaf == 1 and (spec.kind == "boosted" or not spec.bagged)
     if sums_only and train.count() > ROWS_PER_TASK:
         train, weight = merge_equal(train, weight, validation), weight or "weight"
+    if spec.kind == "forest" and spec.bagged and spec.trees > 0 and train.count() > CELL_ROWS and cell_forest.bounded(train, spec.bins):
+        grown = cell_forest.grow(train, spec.trees, min(spec.depth, MAX_DEPTH), spec.min_leaf, spec.seed, weight, spec.bins)
+        if grown:
+            return CellForest(*grown)
     train = compact(train)
     if spec.kind == "boosted":
         learner = GBTClassifier(
