@@ -97,7 +97,7 @@ def l9_second_testbed_grid(spark, sf_dir):
     train, test = stratified_split(vectors(spark, sf_dir), ["label"], 0.7, ["id"])
     balanced = M.from_array(stage(balance(stage(train, "real")).select("id", "vec", "label"), "balanced"), "vec")
     test = M.from_array(stage(test, "test"), "vec")
-    results = run_grid(balanced, test, "water", [M.SECOND_TESTBED], rule="confirm", with_auc=True)
+    results = run_grid(balanced, test, "water", [M.SECOND_TESTBED], rule="confirm", with_auc=True, strict=True)
     return rounded(results.select(*_GRID, "roc_auc"), "f1", "edge_f1", "escalation_rate", "roc_auc")
 
 

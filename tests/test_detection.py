@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from penstock.functions.decisions import cascade_confirm, cascade_replace, escalate_unsure, predicted
 from penstock.models import classifiers as M
-from penstock.models.cascade import run_grid, score_cascade
+from penstock.models.cascade import RESULT_SCHEMA, run_grid, score_cascade
 from penstock.operators import episodes, evaluate, selection, splits
 from penstock.operators.sampling import balanced_weights
+from penstock.plans import models as model_plans
 from penstock.streaming import online
 
 EDGE = [0.3, 0.31, 0.4, 0.41, 0.5, 0.6, 0.61]
@@ -184,6 +185,35 @@ def test_grid_keeps_going_after_a_failure(blobs):
     assert g["edge_size_mb"] > 0 and g["score_rows_per_s"] > 0
 
 
+@pytest.mark.parametrize("where", ["central", "edge"])
+def test_a_failed_cell_fails_a_strict_grid(blobs, where):
+    """The rows of good cells must not come back beside empty ones that look like results."""
+    train, test = blobs
+    spec = M.TreeSpec("forest", 2, 2)
+    good = M.CascadeConfig("good", spec, spec)
+    bad = M.CascadeConfig("bad", *[M.TreeSpec("forest", 0, 2) if where == side else spec for side in ("edge", "central")])
+    with pytest.raises(RuntimeError, match="2 of 4 cells .*bad at 0.4.*bad at 0.5"):
+        run_grid(train, test, "blobs", [bad, good], (0.4, 0.5), strict=True)
+
+
+def _grid_arguments(monkeypatch, query, spark, sf_dir):
+    """What a grid query hands to `run_grid`."""
+    seen = {}
+
+    def grid(train, test, dataset, configs=M.CONFIGS, shares=M.EDGE_SHARES, **more):
+        seen.update(configs=list(configs), shares=tuple(shares), **more)
+        return spark.createDataFrame([], RESULT_SCHEMA)
+
+    monkeypatch.setattr(model_plans, "run_grid", grid)
+    query(spark, sf_dir)
+    return seen
+
+
+def test_second_testbed_grid_fails_with_its_cells(monkeypatch, spark, sf_dir):
+    seen = _grid_arguments(monkeypatch, model_plans.l9_second_testbed_grid, spark, sf_dir)
+    assert seen["strict"] and seen["configs"] == [M.SECOND_TESTBED] and seen["shares"] == M.EDGE_SHARES
+
+
 def test_configurations_are_complete():
     assert [c.name.split("_")[1] for c in M.CONFIGS] == list("123456")
     assert M.CONFIGS[1].central.trees == 200 and M.CONFIGS[1].central.kind == "boosted"
