@@ -214,6 +214,11 @@ def test_second_testbed_grid_fails_with_its_cells(monkeypatch, spark, sf_dir):
     assert seen["strict"] and seen["configs"] == [M.SECOND_TESTBED] and seen["shares"] == M.EDGE_SHARES
 
 
+def test_experiment_grid_covers_every_configuration(monkeypatch, spark, sf_dir):
+    seen = _grid_arguments(monkeypatch, model_plans.l8_experiment_grid, spark, sf_dir)
+    assert seen["strict"] and seen["configs"] == list(M.CONFIGS) and seen["shares"] == M.EDGE_SHARES
+
+
 def test_configurations_are_complete():
     assert [c.name.split("_")[1] for c in M.CONFIGS] == list("123456")
     assert M.CONFIGS[1].central.trees == 200 and M.CONFIGS[1].central.kind == "boosted"
