@@ -16,7 +16,7 @@ a row costs a search per feature and one look-up; the scores equal those of walk
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,7 +55,7 @@ def place_cuts(x: np.ndarray, w: np.ndarray, bins: int) -> np.ndarray:
     return np.array([c for c in cuts if not math.isnan(c)])
 
 
-def _cuts(rows: DataFrame, n: int, bins: int, seed: int) -> list[np.ndarray]:
+def place_sampled_cuts(rows: DataFrame, n: int, bins: int, seed: int) -> list[np.ndarray]:
     share = min(1.0, max(bins * bins, CUT_ROWS) / n)
     sample = (rows.sample(False, share, seed) if share < 1 else rows).select(vector_to_array("features").alias("x"), "w").toPandas()
     if not len(sample):
@@ -99,9 +99,10 @@ def draw_bags(cells: DataFrame, trees: int, seed: int) -> DataFrame:
     return stage(drawn, "forest-bags")
 
 
-def _best(cells: DataFrame, shape: tuple[int, ...], trees: list[dict[str, np.ndarray]], drawn: list[np.ndarray], k: int, min_leaf: int) -> list:
-    """Per open node its split, if any: the feature's number `k` among the drawn ones, the last bin on the left and the class weights of both sides."""
-    bins = max(shape)
+def best_splits(rows: DataFrame, decode: Callable[[pa.RecordBatch], Iterator[tuple]], bins: int, trees: list[dict[str, np.ndarray]],
+                drawn: list[np.ndarray], k: int, min_leaf: int) -> list:
+    """Per open node its split, if any: the feature's number `k` among the drawn ones, the last bin on the left, and the class weights
+    and drawn rows of both sides. `decode` gives bins, classes, weights and the bag of a tree of the rows in a batch."""
 
     def merged(found: list[tuple]) -> pa.RecordBatch:
         tree, key, w0, w1, n = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -115,12 +116,12 @@ def _best(cells: DataFrame, shape: tuple[int, ...], trees: list[dict[str, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
-        for batch in batches:
-            code, y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("code", "y", "w"))
-            x = np.stack(np.unravel_index(code, shape), 1)
-            bags = _matrix(batch.column("bags"), len(trees))
+        for x, y, w, bag in (part for batch in batches for part in decode(batch)):
             for t, tree in enumerate(trees):
-                m = np.nonzero(bags[:, t] > 0)[0]
+                if not (tree["feat"] == OPEN).any():
+                    continue
+                bags = bag(t)
+                m = np.nonzero(bags > 0)[0]
                 node = walk(tree, x[m])
                 opened = tree["feat"][node] == OPEN
                 m, node = m[opened], node[opened]
@@ -128,20 +129,20 @@ def _best(cells: DataFrame, shape: tuple[int, ...], trees: list[dict[str, np.nda
                     continue
                 f = drawn[t][node]
                 key = ((node[:, None] * k + np.arange(k)) * bins + x[m[:, None], f]).reshape(-1)
-                c = np.repeat(bags[m, t], k)
+                c = np.repeat(bags[m], k)
                 cw, cy = c * np.repeat(w[m], k), np.repeat(y[m], k)
                 uniq, at = np.unique(key, return_inverse=True)
                 at = at.reshape(-1)
                 found.append((np.full(len(uniq), t, np.int64), uniq, np.bincount(at, cw * (1 - cy), len(uniq)),
                               np.bincount(at, cw * cy, len(uniq)), np.bincount(at, c, len(uniq))))
                 held += len(uniq)
-            if held >= MERGE_KEYS:
-                yield merged(found)
-                found, held = [], 0
+                if held >= MERGE_KEYS:
+                    yield merged(found)
+                    found, held = [], 0
         if found:
             yield merged(found)
 
-    parts = cells.mapInArrow(run, "tree int, node long, k int, bin int, w0 double, w1 double, n long").repartition("tree", "node")
+    parts = rows.mapInArrow(run, "tree int, node long, k int, bin int, w0 double, w1 double, n long").repartition("tree", "node")
     sums = parts.groupBy("tree", "node", "k", "bin").agg(*[F.sum(c).alias(c) for c in ("w0", "w1", "n")])
     left = Window.partitionBy("tree", "node", "k").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("tree", "node", "k")
@@ -152,8 +153,8 @@ def _best(cells: DataFrame, shape: tuple[int, ...], trees: list[dict[str, np.nda
     total = F.col("tw0") + F.col("tw1")
     gain = _gini("t") - sum((F.col(f"{s}w0") + F.col(f"{s}w1")) / total * _gini(s) for s in "lr")
     best = sides.filter((F.col("ln") >= min_leaf) & (F.col("rn") >= min_leaf)).withColumn("gain", gain).filter("gain > 0").groupBy("tree", "node").agg(
-        F.max(F.struct("gain", (-F.col("k")).alias("nk"), (-F.col("bin")).alias("nb"), "lw0", "lw1", "rw0", "rw1")).alias("b"))
-    return best.select("tree", "node", (-F.col("b.nk")).alias("k"), (-F.col("b.nb")).alias("bin"), "b.lw0", "b.lw1", "b.rw0", "b.rw1").collect()
+        F.max(F.struct("gain", (-F.col("k")).alias("nk"), (-F.col("bin")).alias("nb"), "lw0", "lw1", "rw0", "rw1", "ln", "rn")).alias("b"))
+    return best.select("tree", "node", (-F.col("b.nk")).alias("k"), (-F.col("b.nb")).alias("bin"), "b.lw0", "b.lw1", "b.rw0", "b.rw1", "b.ln", "b.rn").collect()
 
 
 def _gini(side: str) -> Column:
@@ -192,6 +193,12 @@ def grow_cells(cells: DataFrame, cuts: list[np.ndarray], trees: int, depth: int,
     shape = tuple(len(c) + 1 for c in cuts)
     width, k = len(cuts), len(cuts) if trees == 1 else math.ceil(math.sqrt(len(cuts)))
     forest = [Tree() for _ in range(trees)]
+
+    def decode(batch: pa.RecordBatch) -> Iterator[tuple]:
+        code, y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("code", "y", "w"))
+        bags = _matrix(batch.column("bags"), trees)
+        yield np.stack(np.unravel_index(code, shape), 1), y, w, lambda t: bags[:, t]
+
     in_bags = cells.select("y", "w", F.posexplode("bags").alias("tree", "c")).groupBy("tree").agg(
         *[F.sum(F.when(F.col("y") == v, F.col("c") * F.col("w")).otherwise(0.0)).alias(f"w{v}") for v in (0, 1)])
     for r in in_bags.collect():
@@ -206,7 +213,7 @@ def grow_cells(cells: DataFrame, cuts: list[np.ndarray], trees: int, depth: int,
             drawn.append(nodes)
         if not any((a["feat"] == OPEN).any() for a in arrays):
             break
-        chosen = {(r.tree, r.node): r for r in _best(cells, shape, arrays, drawn, k, min_leaf)}
+        chosen = {(r.tree, r.node): r for r in best_splits(cells, decode, max(shape), arrays, drawn, k, min_leaf)}
         for t, tree in enumerate(forest):
             for u in np.nonzero(arrays[t]["feat"] == OPEN)[0].tolist():
                 r = chosen.get((t, u))
@@ -229,7 +236,7 @@ def grow(train: DataFrame, trees: int, depth: int, min_leaf: int = 1, seed: int
     None where the labels are not both 0 and 1 or a weight is null, negative or not finite (MLlib refuses or handles those rows), and
     where rows of very many different weights leave too many cells."""
     rows = train.select("features", F.col("label").cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    cuts = _cuts(rows, train.count(), bins, seed)
+    cuts = place_sampled_cuts(rows, train.count(), bins, seed)
     if not cuts:
         return None
     cells = stage(rows.groupBy(_code_column(cuts).alias("code"), "y", "w").agg(F.count(F.lit(1)).alias("n")), "forest-cells")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penstock.functions.decisions import predicted
-from penstock.models import cell_forest, extra_trees, kernels
+from penstock.models import cell_forest, extra_trees, kernels, spread_forest
 from penstock.session import scratch_dir, scratch_path
 from penstock.sources.staging import stage
 
@@ -178,6 +178,23 @@ class CellForest(ExtraTrees):
         return cell_forest.score(df, self.cuts, self.table, out)
 
 
+class SpreadForest(Scorer):
+    """A forest whose nodes stay on the executors (`spread_forest.grow`)."""
+
+    def __init__(self, forest: spread_forest.Forest):
+        self.forest = forest
+
+    def score(self, df: DataFrame, out: str = "p") -> DataFrame:
+        return spread_forest.score(df, self.forest, out)
+
+    def save(self, path: str) -> None:
+        spread_forest.save(self.forest, path)
+
+    @property
+    def nodes(self) -> int:
+        return self.forest.nodes
+
+
 def fit_extra_trees(train: DataFrame, spec: TreeSpec, weight: str | None) -> ExtraTrees:
     """The published extra-trees: minimum split size twice the leaf size, as in the configurations."""
     depth = min(spec.depth, MAX_DEPTH)
@@ -193,18 +210,23 @@ def load_scorer(spark: SparkSession, path: str) -> Scorer:
 
     try:
         model = load(path)
-    except AnalysisException:  # extra-trees keep a table of nodes, forests in parts their number
+    except AnalysisException:  # extra-trees keep a table of nodes, forests in parts their number, spread forests their subtrees
         try:
             n = spark.read.parquet(f"{path}/parts").first()["parts"]
             return ForestParts([Scorer(load(f"{path}/part-{i}")) for i in range(n)])
         except AnalysisException:
             pass
+        try:
+            return SpreadForest(spread_forest.load(spark, path))
+        except AnalysisException:
+            pass
         return ExtraTrees(extra_trees.from_node_table(spark.read.parquet(f"{path}/nodes").collect()))
     return MarginScorer(model) if isinstance(model, ml.LinearSVCModel) else Scorer(model)
 
 
 ROWS_PER_TASK = 20_000
 FOREST_TASKS = 16  # tasks that the parts of one forest keep busy together
+MANY_NODES = 1 << 20  # a bagged forest that may have more nodes keeps them on the executors
 CELL_ROWS = 160_000  # a bagged forest of more rows is grown on counted cells where these are bounded
 
 
@@ -222,12 +244,18 @@ def merge_equal(train: DataFrame, weight: str | None, validation: str | None) ->
     return stage(train.groupBy(*keys).agg(total.alias(weight or "weight")), "merged-rows")
 
 
+def most_nodes(spec: TreeSpec, rows: int) -> int:
+    """Bound of a forest's nodes: a tree has two for each leaf at most, and `min_leaf` rows a leaf."""
+    return spec.trees * min(2 ** (min(spec.depth, MAX_DEPTH) + 1), 2 * rows // max(1, spec.min_leaf))
+
+
 def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None, validation: str | None = None) -> Scorer:
     """Fit a tree ensemble on `(features, label[, weight])`.
 
     Boosting stops early when `validation` names a boolean column of held-out rows. Beyond `ROWS_PER_TASK` rows, equal rows are
     merged first where that gives the same trees, and a forest of few tasks is grown in parts of its trees, all at once. Beyond
-    `CELL_ROWS` rows, a bagged forest on few features is grown on counted cells.
+    `CELL_ROWS` rows, a bagged forest on few features is grown on counted cells. One that may have more than `MANY_NODES` nodes is
+    grown and kept on the executors.
     """
     ensure_checkpoints(train.sparkSession)
     weight = weight if spec.weighted else None
@@ -240,6 +268,10 @@ def fit_trees(train: DataFrame, spec: TreeSpec, weight: str | None = None, valid
         grown = cell_forest.grow(train, spec.trees, min(spec.depth, MAX_DEPTH), spec.min_leaf, spec.seed, weight, spec.bins)
         if grown:
             return CellForest(*grown)
+    if spec.kind == "forest" and spec.bagged and spec.trees > 0 and most_nodes(spec, train.count()) > MANY_NODES:
+        spread = spread_forest.grow(train, spec.trees, min(spec.depth, MAX_DEPTH), spec.min_leaf, spec.seed, weight, spec.bins)
+        if spread:
+            return SpreadForest(spread)
     train = compact(train)
     if spec.kind == "boosted":
         learner = GBTClassifier(
