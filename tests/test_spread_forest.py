@@ -76,7 +76,7 @@ def test_forest_of_many_nodes_stays_off_the_driver(spark, rows, monkeypatch, tmp
 @pytest.mark.parametrize("local_rows", [1 << 20, 400])
 def test_spread_forest_is_as_good_as_mllib(rows, monkeypatch, local_rows):
     """Scores and sizes of both forests agree within the spread of their draws."""
-    spec = M.TreeSpec("forest", 24, 10, 4)
+    spec = M.TreeSpec("forest", 60, 10, 4)
     plain = M.fit_trees(rows, spec, "weight")
     assert not isinstance(plain, M.SpreadForest)
     monkeypatch.setattr(M, "MANY_NODES", 1000)
